@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from itertools import chain
 
 import numpy as np
@@ -24,6 +25,8 @@ _NONE = np.int32(2**31 - 1)
 _CELLS = 4_000_000
 #: Pre-tokens above this many bytes are merged with a heap instead, as a matrix of one long row gains nothing.
 _LONG = 512
+#: A piece of one word of Latin letters and perhaps some ASCII marks: the pattern splits it right there.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ʯ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
 
 
 class PairTable:
@@ -199,7 +202,12 @@ class ByteBpe:
         return tuple(i for i, ok in zip(ids, alive, strict=True) if ok)
 
     def _encode_pieces(self, keys: list[str]) -> list[tuple[int, ...]]:
-        split = [self.pattern.findall(k) for k in keys]
+        plain, findall, split = _PLAIN.fullmatch, self.pattern.findall, []
+        for k in keys:
+            if m := plain(k):
+                split.append((m[1], m[2]) if m[2] else (k,))
+            else:
+                split.append(findall(k))
         distinct = list(set(chain.from_iterable(split)))
         ids = dict(zip(distinct, self.encode_tokens([t.encode("utf-8", "surrogatepass") for t in distinct]), strict=True))
         return [ids[s[0]] if len(s) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, s))) for s in split]

@@ -45,6 +45,6 @@ class Memo:
             known.clear()
             new = set().union(*lists)
         if new:
-            keys = sorted(new)
+            keys = list(new)
             known.update(zip(keys, self.encode_many(keys), strict=True))
         return known
