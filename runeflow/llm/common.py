@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -99,6 +100,7 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[tuple[str, T.D
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 50, 100)  # tables of millions of small objects are no garbage
         fn = None
         for batch in batches:
             if fn is None:
