@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -26,3 +26,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.bpe_digests(docs, path, public_tokenizers.PATTERN, carry=["doc_id"])
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to seekable shard files and read back from them."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), token_files.scratch_folder(spark))
+    return token_files.read_token_digests(manifest)
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
