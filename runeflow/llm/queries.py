@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts, token_files
+from . import bpe, pii, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -41,3 +41,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     docs = table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    return pii.find_pii(table(spark, sf_dir, "documents"), carry=["doc_id"])
