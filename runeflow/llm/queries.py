@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, token_counts, token_files
+from . import bpe, pii, secrets_scan, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -47,3 +47,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, plain and disguised."""
     return pii.find_pii(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets_scan.find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
