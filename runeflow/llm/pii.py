@@ -90,6 +90,7 @@ _ODD = re.compile("[" + "".join(map(re.escape, _ALIKE)) + "]")
 # Spelled digits and the words that double or triple the next one.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _TIMES = {"double": 2, "triple": 3}
+_WORDS = frozenset([*_SPELLED, *_TIMES])
 _DIGIT_WORD = "|".join([*_SPELLED, *_TIMES])
 _DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[ ,.-]+)?(?:{_DIGIT_WORD})(?:[ ,-]*(?:{_DIGIT_WORD}|[0-9](?![0-9A-Za-z]*[A-Za-z])))*(?![A-Za-z])", re.I | re.A)
 _SOME_DIGITS = re.compile(rf"(?:\b(?:{_DIGIT_WORD})[ ,-]+){{2}}", re.I | re.A)
@@ -186,7 +187,8 @@ def _windows(text: str) -> list[tuple[int, int]]:
     hits = [m.span() for m in _DISGUISED.finditer(text)] if _likely(text) else []
     if not text.isascii():
         hits += [m.span() for m in _ODD.finditer(text)]
-    hits += [m.span() for m in _SOME_DIGITS.finditer(text)]
+    if not _WORDS.isdisjoint(text.lower().replace(",", " ").replace("-", " ").split()):
+        hits += [m.span() for m in _SOME_DIGITS.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(hits):
         a, b = max(0, a - _REACH), min(len(text), b + _REACH)
