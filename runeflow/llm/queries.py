@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, secrets_scan, token_counts, token_files
+from . import bpe, pii, quality, secrets_scan, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -53,3 +53,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets_scan.find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a model that never sees the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", (quality.fold() == 2).alias("held_out"), "score", "predicted")
