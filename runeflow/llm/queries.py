@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, secrets_scan, token_counts, token_files
+from . import bpe, jaccard, pii, quality, secrets_scan, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -62,3 +62,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs, model, carry=["doc_id"])
     return scored.select("doc_id", (quality.fold() == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 5-word sets are alike by 0.8 or more."""
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
