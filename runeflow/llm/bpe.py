@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunks import Memo, pieces
+from .chunks import Memo, cut_texts, spaced
 from .common import append_columns
 
 _NONE = np.int32(2**31 - 1)
@@ -203,7 +203,7 @@ class ByteBpe:
 
     def _encode_pieces(self, keys: list[str]) -> list[tuple[int, ...]]:
         plain, findall, split = _PLAIN.fullmatch, self.pattern.findall, []
-        for k in keys:
+        for k in map(spaced, keys):
             if m := plain(k):
                 split.append((m[1], m[2]) if m[2] else (k,))
             else:
@@ -214,15 +214,14 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts."""
-        lists = []
-        for t in texts:
-            cut = pieces(t)
-            if cut is None:  # pieces are the pattern's own matches then
-                lists.append(self.pattern.findall(t))
-            else:
-                lists.append([cut[0], *[f" {c}" for c in cut[1:]]])
-        known = self.memo.learn(lists)
-        return [list(chain.from_iterable(map(known.__getitem__, x))) for x in lists]
+        lists, known = cut_texts(texts, self.memo)
+        return [self._whole(t) if x is None else list(chain.from_iterable(map(known.__getitem__, x))) for t, x in zip(texts, lists, strict=True)]
+
+    def _whole(self, text: str) -> list[int]:
+        parts = self.pattern.findall(text)
+        distinct = list(set(parts))
+        ids = dict(zip(distinct, self.encode_tokens([t.encode("utf-8", "surrogatepass") for t in distinct]), strict=True))
+        return list(chain.from_iterable(map(ids.__getitem__, parts)))
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes of the ids, one after the other."""

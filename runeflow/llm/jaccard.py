@@ -63,7 +63,7 @@ class Shingler:
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         lists = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        known = self.memo.learn(lists)
+        known, _ = self.memo.learn(lists)
         return [self._set(np.fromiter(map(known.__getitem__, x), np.uint64, len(x))) for x in lists]
 
     def _set(self, words: np.ndarray) -> np.ndarray:

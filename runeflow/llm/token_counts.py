@@ -80,7 +80,7 @@ class WordCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         lists = [None if len(t) > self.huge else words(t) for t in texts]
-        known = self.memo.learn([x for x in lists if x is not None])
+        known, _ = self.memo.learn([x for x in lists if x is not None])
         out = []
         for t, x in zip(texts, lists, strict=True):
             if x is not None:

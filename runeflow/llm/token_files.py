@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import Memo, pieces
+from .chunks import FIRST, Memo, cut_texts, spaced
 from .common import append_columns, scratch_path, written
 
 # Fixed values of the public seekable format.
@@ -38,7 +38,8 @@ ROWS_PER_SHARD = 4_096
 MOST_SHARDS = 10_000
 _RECORD = np.dtype([("doc_id", "<i8"), ("null", "<u4"), ("frames", "<u4"), ("ids", "<u8")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
-_TOGETHER = 4_000
+#: Pieces encoded as one text: enough to share a call's cost, few enough to stay in the processor's cache.
+_TOGETHER = 48
 
 
 def pack(data: bytes, width: int, compressor: zstandard.ZstdCompressor) -> tuple[bytes, bytes]:
@@ -125,14 +126,17 @@ class ByteEncoder:
 
     def _encode_pieces(self, keys: list[str]) -> list[bytes]:
         out: list = [None] * len(keys)
-        spaced = [i for i, k in enumerate(keys) if k[:1] == " "]
+        inner = []
         for i, k in enumerate(keys):
-            if k[:1] != " ":
-                out[i] = self._whole(k)
-        groups = [spaced[i : i + _TOGETHER] for i in range(0, len(spaced), _TOGETHER)]
-        for group in groups:
-            part = [keys[i] for i in group]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.int64)
+            if k[:1] == FIRST:
+                out[i] = self._whole(k[1:])
+            else:
+                inner.append(i)
+        groups = [inner[i : i + _TOGETHER] for i in range(0, len(inner), _TOGETHER)]
+        parts = [[spaced(keys[i]) for i in group] for group in groups]
+        coded = self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
+        for group, part, code in zip(groups, parts, coded, strict=True):
+            ids = np.array(code.ids, np.int64)
             ends = np.cumsum([len(k.encode("utf-8")) for k in part])
             at = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1
             data, a = ids.astype(self.kind).tobytes(), 0
@@ -142,9 +146,7 @@ class ByteEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [pieces(t) for t in texts]
-        lists = [None if x is None else [x[0], *[f" {c}" for c in x[1:]]] for x in lists]
-        known = self.memo.learn([x for x in lists if x is not None])
+        lists, known = cut_texts(texts, self.memo)
         return [self._whole(t) if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, lists, strict=True)]
 
 
