@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, pii, quality, secrets_scan, token_counts, token_files
+from . import bpe, jaccard, pii, quality, secrets_scan, token_counts, token_files, vectors
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -68,3 +68,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word sets are alike by 0.8 or more."""
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of embeddings whose cosine is 0.95 or more."""
+    return vectors.vector_groups(table(spark, sf_dir, "embeddings"))
