@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, pii, quality, secrets_scan, token_counts, token_files, vectors
+from . import bpe, decontaminate, jaccard, pii, quality, secrets_scan, token_counts, token_files, vectors
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -74,3 +74,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of embeddings whose cosine is 0.95 or more."""
     return vectors.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
