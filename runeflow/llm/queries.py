@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, pii, quality, secrets_scan, token_counts, token_files, vectors
+from . import bpe, decontaminate, html_text, jaccard, pii, quality, secrets_scan, token_counts, token_files, vectors
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -80,3 +80,9 @@ def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
