@@ -13,7 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def ucd_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """(fields): lines without comments and blanks, split at semicolons and trimmed."""
     body = F.trim(F.regexp_replace(F.col(column), "#.*$", ""))
-    return lines.where(body != "").select(F.transform(F.split(body, ";"), F.trim).alias("fields"))
+    return lines.where(body != "").select(F.transform(F.split(body, ";"), lambda x: F.trim(x)).alias("fields"))
 
 
 def ucd_missing(lines: DataFrame, column: str = "value") -> DataFrame:
