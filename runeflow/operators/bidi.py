@@ -294,8 +294,15 @@ def runs_of(levels: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Characters that can raise a level: those of right-to-left scripts' blocks, Arabic numbers, and explicit formatting.
+_RAISING = r"[\u0590-\u08FF\u200F\u202A-\u202E\u2066-\u2069\uFB1D-\uFDFF\uFE70-\uFEFF\x{10800}-\x{10FFF}\x{1E800}-\x{1EFFF}]"
+
+
 def with_levels(df: DataFrame, text_col: str, direction: str = "auto") -> DataFrame:
-    """Adds ``base``, ``levels`` (array) and ``order`` (runs in visual order) for one paragraph a row; null has none."""
+    """Adds ``base``, ``levels`` (array) and ``order`` (runs in visual order) for one paragraph a row; null has none.
+
+    Texts without any character that can raise a level never leave the JVM, unless the paragraph runs right to left.
+    """
     kept = [c for c in df.columns if c.lower() not in ("base", "levels", "order")]
     source = df.select(*kept, F.col(text_col).alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in kept], T.StructField("base", T.IntegerType()), T.StructField("levels", T.ArrayType(T.IntegerType())), T.StructField("order", T.ArrayType(T.IntegerType()))])
@@ -306,4 +313,9 @@ def with_levels(df: DataFrame, text_col: str, direction: str = "auto") -> DataFr
             order = [visual_order([x for *_, x in runs_of(levels)]) if levels is not None else None for _, levels in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int32())), pa.array(order, pa.list_(pa.int32()))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    if direction == "rtl":
+        return source.mapInArrow(run, schema)
+    plain = ~F.coalesce(F.col("__text").rlike(_RAISING), F.lit(True))
+    n = F.char_length("__text")
+    level = source.where(plain).select(*kept, F.lit(0).alias("base"), F.array_repeat(F.lit(0), n).alias("levels"), F.array_repeat(F.lit(0), F.least(n, F.lit(1))).alias("order"))
+    return level.union(source.where(~plain).mapInArrow(run, schema))

@@ -147,3 +147,15 @@ def test_entry_runs_without_the_llm_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_store_is_sound(spark, tmp_path):
+    from runeflow.sources import store
+
+    folder = str(tmp_path / "store")
+    store.write(spark, folder)
+    assert {r.rule: r.n for r in store.violations(spark, folder).collect() if r.n} == {}
+    greek = store.coverage(spark, folder, "script", "Greek").collect()
+    assert any(r["first"] <= 0x3B1 <= r["last"] for r in greek)
+    ext = {r.cp: r.scripts for r in spark.read.parquet(f"{folder}/script_extensions").collect()}
+    assert "Devanagari" in ext[0x964] and len(ext[0x964]) > 5
