@@ -6,53 +6,54 @@ passage frequencies of the words; the inverse frequencies scale both sides after
 turns the sum into the vectors. Windows of every document are compared with the items in that space by cosine; each
 candidate is checked by the weighted share of the item's words, the longest common subsequence with the words about the
 window, and the words of the item's answer, its last part.
+
+Texts become arrays of word numbers in the JVM; Python sees numbers only, and whole batches at a time.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo
-from .common import slices
-
+#: Words are numbered by 31 bits of a hash; the space has a dimension for each bucket of them.
 WORD_BITS = 14
 RANK, SKETCH = 32, 40
 PASSAGE = 32
 #: Words of a step, and windows as (steps long, steps apart); an item is sought with the window nearest its length.
 STEP = 4
 WINDOWS = ((4, 1), (8, 2), (14, 3))
-COSINE = 0.5
+COSINE = 0.6
 #: An item is found if so much of it is a common subsequence, or less if its answer and its rare words are there too.
 WHOLE, PART, ANSWER, SHARE = 0.8, 0.55, 0.5, 0.5
-#: Items searched for in one pass over the documents.
+#: Items searched for in one pass over the documents, and words handled at a time.
 ITEMS = 2_000
+AT_A_TIME = 400_000
 
-_WORD = re.compile(r"\w+")
 _V = 1 << WORD_BITS
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-class Buckets:
-    """Bucket numbers of words."""
+def word_numbers(text: Column) -> Column:
+    """Numbers of the lower-cased words, runs of letters, digits and underscores, in order."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
 
-    def __init__(self):
-        self.memo = Memo(lambda keys: [xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) & (_V - 1) for k in keys], 1_000_000)
 
-    def of(self, lists: list[list[str]]) -> list[np.ndarray]:
-        known, _ = self.memo.learn(lists)
-        return [np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in lists]
+def _batches(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, numbers, lengths) of parts of a list column that hold at most ``AT_A_TIME`` numbers, or one row."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    a, n = 0, len(column)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + AT_A_TIME, side="right")) - 1)
+        b = min(b, n)
+        yield a, b, values[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1])
+        a = b
 
 
 @dataclass
@@ -63,7 +64,12 @@ class Space:
     rows: np.ndarray
 
     def vector(self, ids: np.ndarray) -> np.ndarray:
-        return self.rows[ids].sum(0)
+        return self.rows[ids & (_V - 1)].sum(0)
+
+
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, … within each row."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Space:
@@ -71,21 +77,17 @@ def fit(docs: DataFrame, text_col: str = "text") -> Space:
     test = np.random.default_rng(17).normal(size=(_V, SKETCH)).astype(np.float32)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, total, seen, passages, words = Buckets(), np.zeros((_V, SKETCH)), np.zeros(_V), 0, np.zeros(_V)
+        total, seen, passages, words = np.zeros((_V, SKETCH)), np.zeros(_V), 0, np.zeros(_V)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts, 1_000_000):
-                lists = [x for x in buckets.of([words_of(t) for t in texts[a:b]]) if len(x)]
-                if not lists:
+            for _, _, numbers, lengths in _batches(batch.column(0)):
+                if not len(numbers):
                     continue
-                ids = np.concatenate(lists)
-                lengths = np.array([len(x) for x in lists])
-                within = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                starts = np.flatnonzero(within % PASSAGE == 0)
+                ids = numbers & (_V - 1)
+                starts = np.flatnonzero(_within(lengths) % PASSAGE == 0)
                 own = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
                 z = np.add.reduceat(test[ids], starts, axis=0)
-                order = np.argsort(ids, kind="stable")
-                ordered = ids[order]
+                order = np.argsort(ids.astype(np.int16), kind="stable")
+                ordered = ids[order].astype(np.int64)
                 first = np.flatnonzero(np.diff(ordered, prepend=-1))
                 total[ordered[first]] += np.add.reduceat(z[own[order]], first, axis=0)
                 pairs = ordered * len(starts) + own[order]  # in order, as the sort keeps positions
@@ -104,7 +106,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Space:
         return pa.table({"k": group.column("k").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     # one row a task, then 256, then 8: no task gathers more than a part of the sums
-    parts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(sums, "k int, sums binary").groupBy("k").applyInArrow(add, "k int, sums binary")
+    parts = docs.select(word_numbers(F.col(f"`{text_col}`")).alias("words")).mapInArrow(sums, "k int, sums binary").groupBy("k").applyInArrow(add, "k int, sums binary")
     parts = parts.withColumn("k", F.pmod("k", F.lit(8)).cast("int")).groupBy("k").applyInArrow(add, "k int, sums binary").collect()
     if not parts:
         return Space(np.ones(_V, np.float32), np.zeros((_V, RANK), np.float32))
@@ -122,9 +124,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> Space:
     return Space(idf.astype(np.float32), (rows - mean).astype(np.float32))
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, a word of ``b`` at a time over the bits of ``a``."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -138,23 +140,22 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 @dataclass
 class Item:
-    item_id: int
-    words: list[str]
-    weights: dict[str, float]
+    item_id: int | None
+    words: list[int]
+    weights: dict[int, float]
     total: float
-    answer: set[str]
+    answer: set[int]
     kind: int
     vector: np.ndarray
 
 
-def items_of(rows: list[tuple[int, str | None]], space: Space) -> list[Item]:
-    buckets, out = Buckets(), []
-    for item_id, text in rows:
-        words = words_of(text or "")
+def items_of(rows: list[tuple[int | None, list[int]]], space: Space) -> list[Item]:
+    out = []
+    for item_id, words in rows:
         if not words:
             continue
-        ids = buckets.of([words])[0]
-        weights = {w: float(space.idf[i]) for w, i in zip(words, ids.tolist(), strict=True)}
+        ids = np.array(words)
+        weights = {w: float(space.idf[w & (_V - 1)]) for w in words}
         kind = int(np.argmin([abs(len(words) - n * STEP) for n, _ in WINDOWS]))
         v = space.vector(ids)
         out.append(Item(item_id, words, weights, sum(weights.values()), set(words[-max(3, len(words) // 4) :]), kind, v / max(1e-12, float(np.linalg.norm(v)))))
@@ -162,59 +163,82 @@ def items_of(rows: list[tuple[int, str | None]], space: Space) -> list[Item]:
 
 
 class Searcher:
-    """Items found in texts."""
+    """Items found in texts, given as word numbers."""
 
     def __init__(self, space: Space, items: list[Item], cosine: float = COSINE):
-        self.space, self.items, self.cosine, self.buckets = space, items, cosine, Buckets()
+        self.space, self.items, self.cosine = space, items, cosine
         self.by_kind = [[i for i, it in enumerate(items) if it.kind == k] for k in range(len(WINDOWS))]
         self.vectors = [np.stack([items[i].vector for i in ids]).T.astype(np.float32) if ids else None for ids in self.by_kind]
-
-    def search(self, texts: list[str]) -> list[list[tuple[int, float, float, float, int, int]]]:
-        """For each text: (item position, cosine, subsequence share, answer share, first word, words)."""
-        lists = [words_of(t) for t in texts]
-        return [self._one(w, ids) if w else [] for w, ids in zip(lists, self.buckets.of(lists), strict=True)]
-
-    def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
-        """For each item position the windows (first word, words, cosine) that come near it."""
-        steps = np.add.reduceat(self.space.rows[ids], np.arange(0, len(ids), STEP), axis=0)
+        self.vocab = np.array(sorted({w for it in items for w in it.weights}), np.int64)
+        place = {w: k for k, w in enumerate(self.vocab.tolist())}
+        pairs = sorted((place[w], i, x / it.total) for i, it in enumerate(items) for w, x in it.weights.items())
+        self.of_word = np.searchsorted([p[0] for p in pairs], np.arange(len(self.vocab) + 1))
+        self.pair_item, self.pair_share = np.array([p[1] for p in pairs], np.int64), np.array([p[2] for p in pairs])
+
+    def shares(self, numbers: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """For each row and item the weighted share of the item's words that the row has."""
+        at = np.minimum(np.searchsorted(self.vocab, numbers), len(self.vocab) - 1)
+        hit = self.vocab[at] == numbers
+        seen = np.unique(rows[hit] * len(self.vocab) + at[hit])
+        row, word = seen // len(self.vocab), seen % len(self.vocab)
+        count = self.of_word[word + 1] - self.of_word[word]
+        k = np.repeat(self.of_word[word] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        key = np.repeat(row, count) * len(self.items) + self.pair_item[k]
+        return np.bincount(key, self.pair_share[k], n * len(self.items)).reshape(n, len(self.items))
+
+    def search(self, numbers: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, float, float, float, int, int]]:
+        """(row, item, cosine, subsequence share, answer share, first word, words) of the rows' matches."""
+        if not len(numbers) or not self.items:
+            return []
+        n, numbers = len(lengths), numbers.astype(np.int64)
+        rows = np.repeat(np.arange(n), lengths)
+        likely = self.shares(numbers, rows, n) >= SHARE - 1e-9
+        within = _within(lengths)
+        first = np.flatnonzero(within % STEP == 0)
+        steps = np.add.reduceat(self.space.rows[numbers & (_V - 1)], first, axis=0)
         sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(steps, axis=0, dtype=np.float64)])
-        out: dict[int, list[tuple[int, int, float]]] = {}
+        step_row, step_in = rows[first], within[first] // STEP
+        counts = -(-lengths // STEP)
+        ends_of = np.cumsum(counts)
+        found = []
         for (length, apart), own, vectors in zip(WINDOWS, self.by_kind, self.vectors, strict=True):
             if vectors is None:
                 continue
-            starts = np.arange(0, max(1, len(steps) - length + apart), apart)
-            ends = np.minimum(starts + length, len(steps))
-            w = (sums[ends] - sums[starts]).astype(np.float32)
-            norm = np.sqrt(np.einsum("ij,ij->i", w, w))
-            near = w @ vectors
-            rows, cols = np.nonzero(near >= self.cosine * np.maximum(norm, 1e-12)[:, None])
-            for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
-                out.setdefault(own[c], []).append((int(starts[r]) * STEP, length * STEP, float(near[r, c] / max(norm[r], 1e-12))))
-        return out
-
-    def _one(self, words: list[str], ids: np.ndarray) -> list[tuple[int, float, float, float, int, int]]:
-        found = []
-        have = set(words)
-        for k, windows in self.candidates(ids).items():
-            item = self.items[k]
-            if sum(x for w, x in item.weights.items() if w in have) < SHARE * item.total:
-                continue
-            best = (0.0, 0.0, 0.0, 0, 0)
-            n = len(item.words)
-            for start, length, cosine in windows:
-                a, b = max(0, start - n // 2), min(len(words), start + length + n // 2)
-                part = words[a:b]
-                near = set(part)
-                if sum(x for w, x in item.weights.items() if w in near) < SHARE * item.total:
-                    continue
-                share = common_subsequence(item.words, part) / n
-                if share > best[0]:
-                    best = (share, len(item.answer & near) / len(item.answer), cosine, a, len(part))
-            share, answer, cosine, a, m = best
-            if share >= WHOLE or (share >= PART and answer >= ANSWER):
-                found.append((k, cosine, share, answer, a, m))
+            size = counts[step_row]
+            start = np.flatnonzero((step_in % apart == 0) & ((step_in == 0) | (step_in + length < size + apart)))
+            end = np.minimum(start + length, ends_of[step_row[start]])
+            w = (sums[end] - sums[start]).astype(np.float32)
+            near = (w @ vectors) / np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None]
+            window_row = step_row[start]
+            begins = np.flatnonzero(np.diff(window_row, prepend=-1))
+            with_windows = window_row[begins]
+            candidate = np.maximum.reduceat(near, begins, axis=0) >= self.cosine
+            for a, c in zip(*np.nonzero(candidate & likely[with_windows][:, own]), strict=True):
+                row, item = int(with_windows[a]), self.items[own[c]]
+                low, high = int(begins[a]), int(begins[a + 1]) if a + 1 < len(begins) else len(start)
+                places = low + np.flatnonzero(near[low:high, c] >= self.cosine)
+                base = int(ends_of[row] - counts[row])
+                offset = int(np.sum(lengths[:row]))
+                words = numbers[offset : offset + int(lengths[row])].tolist()
+                windows = [((int(start[p]) - base) * STEP, length * STEP, float(near[p, c])) for p in places]
+                best = self._check(item, words, windows)
+                if best:
+                    found.append((row, own[c], *best))
         return found
 
+    def _check(self, item: Item, words: list[int], windows: list[tuple[int, int, float]]) -> tuple | None:
+        n, best = len(item.words), (0.0, 0.0, 0.0, 0, 0)
+        for start, length, cosine in windows:
+            a, b = max(0, start - n // 2), min(len(words), start + length + n // 2)
+            part = words[a:b]
+            near = set(part)
+            if sum(x for w, x in item.weights.items() if w in near) < SHARE * item.total - 1e-9:
+                continue
+            share = common_subsequence(item.words, part) / n
+            if share > best[1]:
+                best = (cosine, share, len(item.answer & near) / len(item.answer), a, len(part))
+        return best if best[1] >= WHOLE or (best[1] >= PART and best[2] >= ANSWER) else None
+
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", space: Space | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence, answer, first_word, n_words) of every item found in a document.
@@ -224,23 +248,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     stated query set: they are taken in blocks of ``ITEMS``, each of which meets all documents in a pass.
     """
     space = space or fit(docs, text_col)
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_numbers(F.col(f"`{text_col}`")).alias("words"))
     queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     blocks = max(1, -(-queries.count() // ITEMS))
     spark, out = docs.sparkSession, None
     for b in range(blocks):
-        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"], r["item_id"] is None) for r in queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())
-        items = items_of([(None if none else i, t) for i, t, none in rows], space)
+        rows = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", word_numbers(F.col("text")).alias("words")).collect()
+        items = items_of(sorted(((r["item_id"], list(r["words"])) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), space)
         shared = spark.sparkContext.broadcast((space, items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*shared.value)
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for a, z in slices(texts, 1_000_000):
-                    found = [(i, *m) for i, ms in zip(ids[a:z], searcher.search(texts[a:z]), strict=True) for m in ms]
-                    cols = list(zip(*found, strict=True)) if found else [[]] * 7
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(cols[0], pa.int64()), "item_id": pa.array([searcher.items[k].item_id for k in cols[1]], pa.int64()), "cosine": pa.array(cols[2], pa.float64()), "subsequence": pa.array(cols[3], pa.float64()), "answer": pa.array(cols[4], pa.float64()), "first_word": pa.array(cols[5], pa.int64()), "n_words": pa.array(cols[6], pa.int64())})
+                ids = batch.column(0)
+                for a, _, numbers, lengths in _batches(batch.column(1)):
+                    cols = list(zip(*searcher.search(numbers, lengths), strict=True)) or [[]] * 7
+                    yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array([a + r for r in cols[0]], pa.int64())), "item_id": pa.array([searcher.items[k].item_id for k in cols[1]], pa.int64()), "cosine": pa.array(cols[2], pa.float64()), "subsequence": pa.array(cols[3], pa.float64()), "answer": pa.array(cols[4], pa.float64()), "first_word": pa.array(cols[5], pa.int64()), "n_words": pa.array(cols[6], pa.int64())})
 
         part = source.mapInArrow(run, "doc_id long, item_id long, cosine double, subsequence double, answer double, first_word long, n_words long")
         out = part if out is None else out.union(part)

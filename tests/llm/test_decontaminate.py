@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -6,6 +7,10 @@ from runeflow.llm import decontaminate as d
 from runeflow.llm import queries
 
 
+def words_of(text):
+    return re.findall(r"\w+", text.lower())
+
+
 def plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -25,10 +30,10 @@ def test_common_subsequence():
 def brute(docs, items):
     out = set()
     for i, t in docs:
-        w = d.words_of(t or "")
+        w = words_of(t or "")
         have = set(w)
         for k, q in items:
-            x = d.words_of(q)
+            x = words_of(q)
             if len(have & set(x)) >= 0.5 * len(set(x)):
                 n = len(x)
                 best = max(plain_lcs(x, w[s : s + 2 * n]) for s in range(0, max(1, len(w) - n), max(1, n // 2)))
