@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, jaccard, pii, quality, secrets_scan, token_counts, token_files, vectors
+from . import bpe, decontaminate, html_text, jaccard, pii, quality, secrets_scan, token_counts, token_files, twins, vectors
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict = {"op1_html": twins.HTML, "op7_vector_join": twins.VECTORS, "op9_jaccard_join": twins.JACCARD}
 
 
 def query(f):
