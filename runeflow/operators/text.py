@@ -101,8 +101,8 @@ def font_runs(clusters: DataFrame, cmap: DataFrame, id_col: str = "id", order: s
     needed = clusters.select(id_col, order, F.explode(cps).alias("cp"), F.size(cps).alias("need"))
     hits = needed.join(cmap, "cp").groupBy(id_col, order, "face", "priority").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need")
     best = hits.groupBy(id_col, order).agg(F.min_by("face", "priority").alias("best"))
-    default = cmap.groupBy().agg(F.min_by("face", "priority").alias("first_face"))  # one row
-    chosen = clusters.select(id_col, order).join(best, [id_col, order], "left").join(F.broadcast(default), F.lit(True), "left")
-    chosen = chosen.select(id_col, order, F.coalesce("best", "first_face").alias("face"), F.col("best").isNotNull().alias("complete"))
+    least = cmap.agg(F.min_by("face", "priority").alias("face"))
+    chosen = clusters.select(id_col, order).join(best, [id_col, order], "left")
+    chosen = chosen.select(id_col, order, F.coalesce(F.col("best"), F.lit(least.first()["face"])).alias("face"), F.col("best").isNotNull().alias("complete"))
     runs = islands(chosen, [id_col], order, "face", "complete")
     return runs.groupBy(id_col, "run").agg(F.first("face").alias("face"), F.first("complete").alias("complete"), F.min(order).alias("first"), F.count("*").alias("count"))

@@ -152,3 +152,34 @@ def svg_names(spark, sf_dir):
     letters = [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz"]
     outlines = fonts.path_data(fonts.outlines(files.where(F.col("path") == _SANS), letters), ["gid"])
     return paths.svg_text(placed.join(F.broadcast(outlines), "gid"), 20000, 3000)  # one face's letters
+
+
+@query()
+def gsub_rules(spark, sf_dir):
+    """Substitution rules without context, by face and type, with the longest input and the largest fan-out of a glyph."""
+    rules = fonts.substitution_rules(_files(spark))
+    fan = rules.groupBy("path", "lookup", "subtable", "type", F.col("input")[0].alias("first")).agg(F.count("*").alias("fan"), F.max(F.size("input")).alias("longest"), F.max(F.size("output")).alias("widest"))
+    return fan.groupBy("path", "type").agg(F.sum("fan").alias("rules"), F.max("fan").alias("fan_out"), F.max("longest").alias("longest_input"), F.max("widest").alias("widest_output"))
+
+
+@query()
+def gpos_pairs(spark, sf_dir):
+    """Explicit kerning pairs of each face: how many, their extremes and the distinct first glyphs."""
+    return fonts.pair_rules(_files(spark)).groupBy("path").agg(F.count("*").alias("pairs"), F.min("advance").alias("least"), F.max("advance").alias("most"), F.countDistinct("first").alias("firsts"))
+
+
+@query()
+def gsub_single_join(spark, sf_dir):
+    """A face's first single-substitution lookup applied to all its mapped glyphs, as a join."""
+    files = _files(spark).where(F.col("path") == _SANS)
+    rules = fonts.substitution_rules(files)
+    lookup = rules.where("type = 1").agg(F.min("lookup").alias("k")).first()["k"]
+    glyphs = fonts.cmap(files).select("cp", "gid")
+    return fonts.substitute_singles(glyphs, rules, lookup if lookup is not None else -1)
+
+
+@query()
+def workload_tiers(spark, sf_dir):
+    """Typical, high and extreme ligature inputs of the faces, by nearest rank."""
+    rules = fonts.substitution_rules(_files(spark)).where("type = 4").select("path", "lookup", "subtable", "ord", F.size("input").alias("components"))
+    return reports.tiers(rules, ["path"], [F.col("components"), F.col("lookup"), F.col("subtable"), F.col("ord")])

@@ -430,3 +430,59 @@ def path_data(commands: DataFrame, keys: list[str]) -> DataFrame:
     number = lambda x: F.regexp_replace(F.format_string("%.2f", x), "\\.?0+$", "")
     piece = F.concat(F.col("op"), F.array_join(F.transform("args", number), " "))
     return commands.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", piece.alias("p")))), lambda s: s["p"]), "").alias("d"))
+
+
+def _substitutions(f: Face) -> Iterator[tuple]:
+    """(lookup, type, subtable, ord, input, output) of the substitution rules without context, in stored order."""
+    r = f.r
+    for k, kind, _, _, subs in f.lookups("GSUB"):
+        for j, a in enumerate(subs):
+            if kind not in (1, 2, 3, 4):
+                continue
+            cov = f.coverage(a + r.u16(a + 2))
+            if kind == 1:
+                out = [(g + r.i16(a + 4)) & 0xFFFF for g in cov] if r.u16(a) == 1 else r.array(">u2", a + 6, r.u16(a + 4)).tolist()
+                for n, (g, x) in enumerate(zip(cov, out, strict=False)):
+                    yield k, kind, j, n, [g], [x]
+                continue
+            n = 0
+            for i, g in enumerate(cov):
+                p = a + r.u16(a + 6 + 2 * i)
+                if kind in (2, 3):
+                    yield k, kind, j, n, [g], r.array(">u2", p + 2, r.u16(p)).tolist()
+                    n += 1
+                    continue
+                for q in (p + r.u16(p + 2 + 2 * m) for m in range(r.u16(p))):
+                    yield k, kind, j, n, [g, *r.array(">u2", q + 4, r.u16(q + 2) - 1).tolist()], [r.u16(q)]
+                    n += 1
+
+
+def substitution_rules(files: DataFrame) -> DataFrame:
+    return per_face(files, "lookup int, type int, subtable int, ord int, input array<int>, output array<int>", _substitutions)
+
+
+def _pairs(f: Face) -> Iterator[tuple]:
+    """(lookup, subtable, first, second, first's advance) of the explicit pairs."""
+    r = f.r
+    for k, kind, _, _, subs in f.lookups("GPOS"):
+        for j, a in enumerate(subs):
+            if kind != 2 or r.u16(a) != 1:
+                continue
+            f1, f2 = r.u16(a + 4), r.u16(a + 6)
+            s1, s2 = 2 * bin(f1 & 0xFF).count("1"), 2 * bin(f2 & 0xFF).count("1")
+            place = 2 * bin(f1 & 3).count("1")
+            for i, g in enumerate(f.coverage(a + r.u16(a + 2))):
+                p = a + r.u16(a + 10 + 2 * i)
+                for q in range(p + 2, p + 2 + r.u16(p) * (2 + s1 + s2), 2 + s1 + s2):
+                    yield k, j, g, r.u16(q), r.i16(q + 2 + place) if f1 & 4 else 0
+
+
+def pair_rules(files: DataFrame) -> DataFrame:
+    return per_face(files, "lookup int, subtable int, first int, second int, advance int", _pairs)
+
+
+def substitute_singles(glyphs: DataFrame, rules: DataFrame, lookup: int, gid: str = "gid") -> DataFrame:
+    """A single-substitution lookup over a glyph column: the first sub-table that has the glyph wins, others stay."""
+    first = rules.where((F.col("lookup") == lookup) & (F.col("type") == 1)).groupBy(F.col("input")[0].alias("__in")).agg(F.min_by(F.col("output")[0], F.col("subtable")).alias("__out"))
+    kept = [c for c in glyphs.columns if c != gid]
+    return glyphs.join(first, F.col(gid) == F.col("__in"), "left").select(*kept, F.coalesce("__out", gid).alias(gid))

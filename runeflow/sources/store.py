@@ -29,12 +29,14 @@ def script_extensions(spark: SparkSession, last: int = 0x33FF) -> DataFrame:
 
 def write(spark: SparkSession, folder: str) -> None:
     """All tables of the store below ``folder``."""
-    table = u.property_table(spark, *VALUES)
-    for name in VALUES:
-        u.ranges(table.select("cp", F.col(name).cast("string").alias(name)), name).withColumn("property", F.lit(name)).write.mode("append").parquet(f"{folder}/ranges")
-    for name in u.BINARY:
-        held = u.property_table(spark, name)
-        u.ranges(held, name).where("value").select("first", "last", F.lit("true").alias("value"), F.lit(name).alias("property")).write.mode("append").parquet(f"{folder}/ranges")
+    u.property_table(spark, *VALUES, *u.BINARY).write.parquet(f"{folder}/points")
+    points = spark.read.parquet(f"{folder}/points")
+    found = None
+    for name in (*VALUES, *u.BINARY):
+        part = u.ranges(points.select("cp", F.col(name).cast("string").alias(name)), name).withColumn("property", F.lit(name))
+        part = part.where("value = 'true'") if name in u.BINARY else part
+        found = part if found is None else found.unionByName(part)
+    found.write.parquet(f"{folder}/ranges")
     u.decompositions(spark).write.parquet(f"{folder}/decompositions")
     u.compositions(spark).write.parquet(f"{folder}/compositions")
     brackets(spark).write.parquet(f"{folder}/brackets")

@@ -159,3 +159,38 @@ def test_store_is_sound(spark, tmp_path):
     assert any(r["first"] <= 0x3B1 <= r["last"] for r in greek)
     ext = {r.cp: r.scripts for r in spark.read.parquet(f"{folder}/script_extensions").collect()}
     assert "Devanagari" in ext[0x964] and len(ext[0x964]) > 5
+
+
+def test_script_programs():
+    from runeflow.operators import script_program as sp
+
+    thai = "".join(chr(i.value) for i in sp.thai_program().scalars("น้ำ"))
+    assert thai == "นํ้า"
+    assert sp.move_selection(list("abcd"), [2], 0, True) == list("cabd")
+    assert sp.move_selection(list("abcd"), [0, 1], 2, False) == list("cabd")
+    assert sp.move_selection(list("abcd"), [], 2, False) == list("abcd")
+    with pytest.raises(ValueError):
+        sp.move_selection(list("abcd"), [1], 1, True)
+    assert sp.merge_spans([(5, 7), (0, 2), (2, 4)]) == [(0, 4), (5, 7)]
+    assert sp.half_candidates("chchc") == [(0, 2), (2, 4)] and sp.half_candidates("chJc") == []
+    assert sp.base_of("chc") == 2 and sp.reph("rhc") == (0, 2) and sp.reph("rhJc") is None
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(fonts.DEJAVU), reason="no fonts here")
+def test_shaping_real_fonts(spark):
+    from runeflow.operators import script_program as sp
+    from runeflow.operators.shaping import Shaper
+
+    with open(f"{fonts.DEJAVU}/DejaVuSans.ttf", "rb") as f:
+        shaper = Shaper(fonts.Face(f.read(), 0))
+    assert len(shaper.shape("ffi")) == 1 and len(shaper.shape("ffi", off=("liga",))) == 3
+    plain = sum(g.advance for g in shaper.shape("AV", gpos=False))
+    assert sum(g.advance for g in shaper.shape("AV")) < plain
+    mark = shaper.shape("x́")[-1]
+    assert (mark.x, mark.y) != (0, 0) or mark.parent < 0
+    assert [g.offset for g in sp.thai_program().run(shaper, "ab")] == [0, 1]
+    assert len(sp.devanagari_program("rhcm").run(shaper, "abcd")) == 4
+    files = spark.createDataFrame([("f", bytearray(shaper.r.data))], "path string, content binary")
+    rules = fonts.substitution_rules(files).where("type = 4").collect()
+    ffi = [shaper.map[ord(c)] for c in "ffi"]
+    assert any(r.input == ffi for r in rules)
