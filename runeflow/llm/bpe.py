@@ -8,6 +8,7 @@ the matrix. Rounds merge all rows at once, so a matrix needs as many rounds as i
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 import re
 from itertools import chain
@@ -92,6 +93,7 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.vocab = {i: b for b, i in ranks.items()}
         self.text = {i: str(i) for i in self.vocab}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.vocab}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, rank = [], [], []
         for token, r in ranks.items():
@@ -201,21 +203,23 @@ class ByteBpe:
                     heapq.heappush(heap, (q, x, parts[x], parts[right[x]]))
         return tuple(i for i, ok in zip(ids, alive, strict=True) if ok)
 
-    def _encode_pieces(self, keys: list[str]) -> list[tuple[int, ...]]:
+    def _encode_pieces(self, keys: list[str]) -> list[bytes]:
+        """Ids of each piece, four bytes each: half the room of numbers."""
         plain, findall, split = _PLAIN.fullmatch, self.pattern.findall, []
         for k in map(spaced, keys):
             if m := plain(k):
                 split.append((m[1], m[2]) if m[2] else (k,))
             else:
                 split.append(findall(k))
-        distinct = list(set(chain.from_iterable(split)))
-        ids = dict(zip(distinct, self.encode_tokens([t.encode("utf-8", "surrogatepass") for t in distinct]), strict=True))
-        return [ids[s[0]] if len(s) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, s))) for s in split]
+        distinct, pack = list(set(chain.from_iterable(split))), self.packed.__getitem__
+        found = self.encode_tokens([t.encode("utf-8", "surrogatepass") for t in distinct])
+        ids = {t: b"".join(map(pack, x)) for t, x in zip(distinct, found, strict=True)}
+        return [ids[s[0]] if len(s) == 1 else b"".join(map(ids.__getitem__, s)) for s in split]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts."""
         lists, known = cut_texts(texts, self.memo)
-        return [self._whole(t) if x is None else list(chain.from_iterable(map(known.__getitem__, x))) for t, x in zip(texts, lists, strict=True)]
+        return [self._whole(t) if x is None else np.frombuffer(b"".join(map(known.__getitem__, x)), "<i4").tolist() for t, x in zip(texts, lists, strict=True)]
 
     def _whole(self, text: str) -> list[int]:
         parts = self.pattern.findall(text)
@@ -232,10 +236,12 @@ _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
 
 def load(path: str, pattern: str) -> ByteBpe:
-    """The vocabulary at ``path``, read once in each Python worker."""
+    """The vocabulary at ``path``, read once in each Python worker, with a memo of its own that goes with its user."""
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBpe(path, pattern)
-    return _LOADED[path, pattern]
+    coder = copy.copy(_LOADED[path, pattern])
+    coder.memo = Memo(coder._encode_pieces)
+    return coder
 
 
 def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

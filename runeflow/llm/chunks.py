@@ -38,7 +38,7 @@ def spaced(piece: str) -> str:
 class Memo:
     """Values of pieces by key in two generations, of which the older goes when the younger is full: at most ``most`` entries."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], most: int = 1_200_000):
+    def __init__(self, encode_many: Callable[[list[str]], list], most: int = 1_000_000):
         self.encode_many, self.half, self.known, self.old = encode_many, most // 2, {}, {}
 
     def learn(self, lists: list[list], refused: Callable[[str], bool] | None = None) -> tuple[dict, set]:

@@ -102,14 +102,18 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[tuple[str, T.D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.set_threshold(200_000, 50, 100)  # tables of millions of small objects are no garbage
         fn = None
-        for batch in batches:
-            if fn is None:
-                fn = make()
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            for a, b in slices(texts):
-                out = fn(texts[a:b])
-                cols = [batch.column(k).slice(a, b - a) for k in range(text_at)]
-                cols += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=t) for x, t in zip(out, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            for batch in batches:
+                if fn is None:
+                    fn = make()
+                texts = [t or "" for t in batch.column(text_at).to_pylist()]
+                for a, b in slices(texts):
+                    out = fn(texts[a:b])
+                    cols = [batch.column(k).slice(a, b - a) for k in range(text_at)]
+                    cols += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=t) for x, t in zip(out, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+        finally:  # a worker lives on after its task; what the task held must not
+            fn = None
+            gc.collect()
 
     return source.mapInArrow(run, schema)
