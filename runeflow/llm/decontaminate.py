@@ -219,24 +219,28 @@ class Searcher:
                 places = low + np.flatnonzero(near[low:high, c] >= self.cosine)
                 base = int(ends_of[row] - counts[row])
                 offset = int(np.sum(lengths[:row]))
-                words = numbers[offset : offset + int(lengths[row])].tolist()
-                windows = [((int(start[p]) - base) * STEP, length * STEP, float(near[p, c])) for p in places]
-                best = self._check(item, words, windows)
+                words = numbers[offset : offset + int(lengths[row])]
+                best = self._check(item, words, (start[places] - base) * STEP, length * STEP, near[places, c])
                 if best:
                     found.append((row, own[c], *best))
         return found
 
-    def _check(self, item: Item, words: list[int], windows: list[tuple[int, int, float]]) -> tuple | None:
+    def _check(self, item: Item, words: np.ndarray, starts: np.ndarray, length: int, cosines: np.ndarray) -> tuple | None:
         n, best = len(item.words), (0.0, 0.0, 0.0, 0, 0)
-        for start, length, cosine in windows:
-            a, b = max(0, start - n // 2), min(len(words), start + length + n // 2)
-            part = words[a:b]
+        keys = np.array(sorted(item.weights))
+        at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+        weights = np.where(keys[at] == words, np.array([item.weights[k] for k in keys.tolist()])[at], 0.0)
+        sums = np.concatenate([[0.0], np.cumsum(weights)])
+        low, high = np.maximum(0, starts - n // 2), np.minimum(len(words), starts + length + n // 2)
+        # with repetitions counted the words about a window weigh no less than without
+        for k in np.flatnonzero(sums[high] - sums[low] >= SHARE * item.total - 1e-6).tolist():
+            part = words[low[k] : high[k]].tolist()
             near = set(part)
             if sum(x for w, x in item.weights.items() if w in near) < SHARE * item.total - 1e-9:
                 continue
             share = common_subsequence(item.words, part) / n
             if share > best[1]:
-                best = (cosine, share, len(item.answer & near) / len(item.answer), a, len(part))
+                best = (float(cosines[k]), share, len(item.answer & near) / len(item.answer), int(low[k]), len(part))
         return best if best[1] >= WHOLE or (best[1] >= PART and best[2] >= ANSWER) else None
 
 
