@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 #: Words are numbered by 31 bits of a hash; the space has a dimension for each bucket of them.
 WORD_BITS = 14
-RANK, SKETCH = 32, 40
+RANK, SKETCH = 24, 32
 PASSAGE = 32
 #: Words of a step, and windows as (steps long, steps apart); an item is sought with the window nearest its length.
 STEP = 4
-WINDOWS = ((4, 1), (8, 2), (14, 3))
+WINDOWS = ((4, 1), (8, 3), (14, 5))
 COSINE = 0.6
 #: An item is found if so much of it is a common subsequence, or less if its answer and its rare words are there too.
 WHOLE, PART, ANSWER, SHARE = 0.8, 0.55, 0.5, 0.5
@@ -72,9 +72,21 @@ def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def _step_sums(rows: np.ndarray, ids: np.ndarray, within: np.ndarray, lengths: np.ndarray, step: int) -> np.ndarray:
+    """Sums of ``rows`` over each ``step`` words of each text, its last step being shorter; the last of ``rows`` is zero."""
+    counts = -(-lengths // step)
+    padded = np.full(int(counts.sum()) * step, len(rows) - 1, np.int64)
+    padded[np.repeat((np.cumsum(counts) - counts) * step, lengths) + within] = ids
+    out = rows[padded[0::step]]
+    for k in range(1, step):
+        out += rows[padded[k::step]]
+    return out
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> Space:
     """The space of all passages of all texts; without any, one in which nothing is a candidate."""
     test = np.random.default_rng(17).normal(size=(_V, SKETCH)).astype(np.float32)
+    padded = np.concatenate([test, np.zeros((1, SKETCH), np.float32)])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, passages, words = np.zeros((_V, SKETCH)), np.zeros(_V), 0, np.zeros(_V)
@@ -83,9 +95,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> Space:
                 if not len(numbers):
                     continue
                 ids = numbers & (_V - 1)
-                starts = np.flatnonzero(_within(lengths) % PASSAGE == 0)
-                own = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
-                z = np.add.reduceat(test[ids], starts, axis=0)
+                within = _within(lengths)
+                starts = np.flatnonzero(within % PASSAGE == 0)
+                own = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(ids)))
+                z = _step_sums(padded, ids, within, lengths, PASSAGE)
                 order = np.argsort(ids.astype(np.int16), kind="stable")
                 ordered = ids[order].astype(np.int64)
                 first = np.flatnonzero(np.diff(ordered, prepend=-1))
@@ -167,6 +180,7 @@ class Searcher:
 
     def __init__(self, space: Space, items: list[Item], cosine: float = COSINE):
         self.space, self.items, self.cosine = space, items, cosine
+        self.padded = np.concatenate([space.rows, np.zeros((1, RANK), np.float32)])
         self.by_kind = [[i for i, it in enumerate(items) if it.kind == k] for k in range(len(WINDOWS))]
         self.vectors = [np.stack([items[i].vector for i in ids]).T.astype(np.float32) if ids else None for ids in self.by_kind]
         self.vocab = np.array(sorted({w for it in items for w in it.weights}), np.int64)
@@ -195,7 +209,7 @@ class Searcher:
         likely = self.shares(numbers, rows, n) >= SHARE - 1e-9
         within = _within(lengths)
         first = np.flatnonzero(within % STEP == 0)
-        steps = np.add.reduceat(self.space.rows[numbers & (_V - 1)], first, axis=0)
+        steps = _step_sums(self.padded, numbers & (_V - 1), within, lengths, STEP)
         sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(steps, axis=0, dtype=np.float64)])
         step_row, step_in = rows[first], within[first] // STEP
         counts = -(-lengths // STEP)
