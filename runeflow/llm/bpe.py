@@ -14,6 +14,7 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -221,6 +222,13 @@ class ByteBpe:
         lists, known = cut_texts(texts, self.memo)
         return [self._whole(t) if x is None else np.frombuffer(b"".join(map(known.__getitem__, x)), "<i4").tolist() for t, x in zip(texts, lists, strict=True)]
 
+    def encode_arrays(self, texts: list[str]) -> pa.Array:
+        """Ids of whole texts as one Arrow list array, without a Python object for each."""
+        lists, known = cut_texts(texts, self.memo)
+        data = [np.array(self._whole(t), "<i4").tobytes() if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, lists, strict=True)]
+        ends = np.cumsum([0, *(len(d) // 4 for d in data)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
+
     def _whole(self, text: str) -> list[int]:
         parts = self.pattern.findall(text)
         distinct = list(set(parts))
@@ -253,14 +261,13 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", c
 
     def make():
         coder = load(path, pattern)
-        return lambda texts: [coder.encode_batch(texts)]
+        return lambda texts: [coder.encode_arrays(texts)]
 
     return append_columns(df, text_col, [("token_ids", T.ArrayType(T.IntegerType()))], make, carry)
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", carry: list[str] | None = None) -> DataFrame:
     """``df`` with ``decoded`` (binary), the bytes of the ids in ``ids_col``; null ids decode to no bytes."""
-    import pyarrow as pa
     from pyspark.sql import functions as F
 
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() != "decoded"]
@@ -270,7 +277,10 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
     def run(batches):
         coder = load(path, pattern)
         for batch in batches:
-            out = [coder.decode_bytes(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            column = batch.column(batch.num_columns - 1)
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            # a text at a time, so that no batch of numbers turns into Python objects at once
+            out = [coder.decode_bytes(values[a:b].tolist()) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=schema.names)
 
     return source.mapInArrow(run, schema)
