@@ -248,7 +248,7 @@ def load(path: str, pattern: str) -> ByteBpe:
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBpe(path, pattern)
     coder = copy.copy(_LOADED[path, pattern])
-    coder.memo = Memo(coder._encode_pieces)
+    coder.memo = Memo(coder._encode_pieces, 400_000)
     return coder
 
 
