@@ -3,11 +3,13 @@
 A page is a stream of tokens: block elements' opening and closing tags, and a slot for each run of text. Runs of equal
 neighbours are folded to repeated groups. A host's streams are aligned one after the other: what both have stays, what
 one lacks becomes an optional group, and a group that repeats in one stream takes in its single instances in the other;
-no alternatives are ever written, so the wrapper is a union-free expression. Its slots are then judged by where in the
-wrapper they stand and by what the host's pages put there; the text of a page is what it has in the slots that are kept.
+no alternatives are ever written, so the wrapper is a union-free expression. Each page is then matched against its
+host's wrapper, which gives every block the slot it stands in. What a slot shows on nearly every page is fixed and left
+out, inside an article too; what varies is text, unless its place is that of something else (a footer, say).
 
 Streams are counted where they arise, so a host sends each distinct folded stream once a batch, however many its pages;
-wrappers of parts of a host are aligned with each other in the same way as streams.
+wrappers of parts of a host are aligned with each other in the same way as streams. What slots show is counted exactly,
+by hashes of the texts, so neither the number of pages nor their batches matter.
 """
 
 from __future__ import annotations
@@ -154,10 +156,19 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     return stream, blocks
 
 
-def fold(stream: list) -> list:
-    """Equal neighbours, single tokens or runs, become repeated groups: tuples that begin with ``+``."""
+def _together(owned: list[list[list]], length: int) -> list[list]:
+    """What the slots of repeated units of ``length`` elements hold, put together by slot."""
+    units = [[x for e in owned[k : k + length] for x in e] for k in range(0, len(owned), length)]
+    return [[x for part in parts for x in part] for parts in zip(*units, strict=True)]
+
+
+def fold(stream: list, owned: list | None = None) -> list:
+    """Equal neighbours, single tokens or runs, become repeated groups: tuples that begin with ``+``.
+
+    ``owned`` lists for each element, by its slots, the blocks that they hold; it is folded likewise, in place.
+    """
     for length in range(1, LONGEST_GROUP + 1):
-        i, out = 0, []
+        i, out, kept = 0, [], []
         while i < len(stream):
             unit = stream[i : i + length]
             j = i + length
@@ -166,11 +177,17 @@ def fold(stream: list) -> list:
             if j > i + length:
                 body = unit[0] if length == 1 and isinstance(unit[0], tuple) and unit[0][0] == "+" else ("+", *unit)
                 out.append(body)
+                if owned is not None:
+                    kept.append(_together(owned[i:j], length))
                 i = j
             else:
                 out.append(stream[i])
+                if owned is not None:
+                    kept.append(owned[i])
                 i += 1
         stream = out
+        if owned is not None:
+            owned[:] = kept
     return stream
 
 
@@ -184,21 +201,26 @@ def _bodies(stream: list | tuple) -> list[tuple]:
     return out
 
 
-def refold(stream: list, groups: list[tuple]) -> list:
-    """Single instances of the repeated ``groups`` become those groups."""
+def refold(stream: list, groups: list[tuple], owned: list | None = None) -> list:
+    """Single instances of the repeated ``groups`` become those groups; ``owned`` as in ``fold``."""
     for g in groups:
-        body, i, out = list(g[1:]), 0, []
+        body, i, out, kept = list(g[1:]), 0, [], []
         while i < len(stream):
-            if stream[i : i + len(body)] == body:
-                i += len(body)
-                if not (out and out[-1] == g):
-                    out.append(g)
-            elif stream[i] == g and out and out[-1] == g:
-                i += 1
-            else:
-                out.append(stream[i])
-                i += 1
+            once = stream[i : i + len(body)] == body
+            again = bool(out) and out[-1] == g and (once or stream[i] == g)
+            n = len(body) if once else 1
+            if owned is not None:
+                held = [x for e in owned[i : i + n] for x in e]
+                if again:
+                    kept[-1] = _together([kept[-1], held], 1)
+                else:
+                    kept.append(held)
+            if not again:
+                out.append(g if once else stream[i])
+            i += n
         stream = out
+        if owned is not None:
+            owned[:] = kept
     return stream
 
 
@@ -237,23 +259,61 @@ def align(a: list, b: list) -> list:
     return out
 
 
-def slots(wrapper: list | tuple, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
-    """Paths of the slots that a wrapper has, in order."""
-    out, stack = [], list(path)
-
-    def walk(tokens) -> None:
-        for x in tokens:
-            if isinstance(x, tuple):
-                walk(x[1:])
-            elif x == SLOT:
-                out.append(tuple(stack))
-            elif x.startswith("/"):
-                if x[1:] in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(x[1:]) :]
-            else:
-                stack.append(x)
-
-    walk(wrapper)
+def _slots(x) -> int:
+    """Slots in a token or group."""
+    return sum(map(_slots, x)) if isinstance(x, tuple) else int(x == SLOT)
+
+
+class Wrapper:
+    """A host's wrapper, to match pages against."""
+
+    def __init__(self, tokens: list):
+        self.groups = _bodies(tokens)
+        self.bare = [_bare(x) for x in tokens]
+        self.first = [0]
+        for x in self.bare:
+            self.first.append(self.first[-1] + _slots(x))
+
+    def places(self, stream: list[str]) -> list[int]:
+        """For each block of a page's stream its slot in the wrapper, -1 where the wrapper has none."""
+        owned, blocks = [], 0
+        for x in stream:
+            owned.append([[blocks]] if x == SLOT else [])
+            blocks += x == SLOT
+        page = fold(list(stream), owned)
+        groups = sorted({g: None for g in [*self.groups, *_bodies(page)]}, key=lambda g: (len(g), str(g)))
+        left, right = [(x,) for x in refold(page, groups, owned)], self.bare
+        out = [-1] * blocks
+        for i, j in _common(left, right):
+            for k, held in enumerate(owned[i]):
+                for block in held:
+                    out[block] = self.first[j] + k
+        return out
+
+
+def _common(left: list, right: list) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence."""
+    low, n, m = 0, len(left), len(right)
+    while low < n and low < m and left[low] == right[low]:
+        low += 1
+    while n > low and m > low and left[n - 1] == right[m - 1]:
+        n, m = n - 1, m - 1
+    out = [(k, k) for k in range(low)] + [(n + k, m + k) for k in range(len(left) - n)]
+    a, b = left[low:n], right[low:m]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below = best[i], best[i + 1]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((low + i, low + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
     return out
 
 
@@ -273,20 +333,58 @@ def _content(path: tuple[str, ...]) -> bool:
     return any(key.partition(".")[0] in CONTENT for key in path)
 
 
-def judge(wrapper: list, stats: dict[tuple[str, ...], tuple[int, int, int, int]]) -> list[tuple[str, ...]]:
-    """Paths of the slots to keep; ``stats``: blocks, characters, characters in links, and distinct texts of each path.
+def chosen(blocks: list[Block]) -> tuple[str, list[int]]:
+    """Where the page's text may be, and the blocks there: inside its article or main elements if it has any, else all.
 
-    Inside an article or main element everything that isn't marked as something else is kept. A host without such
-    elements keeps slots that are no lists of links and, if its pages vary at all, don't show the same text on each.
+    What is marked as something else is never among them.
     """
-    # where the wrapper has an optional container, its slots were also seen without it
-    paths = [p for p in dict.fromkeys([*slots(wrapper), *sorted(stats)]) if not _boilerplate(p)]
-    inside = [p for p in paths if _content(p)]
-    if inside:
-        return inside
-    kept = [p for p in paths if (s := stats.get(p)) is None or 2 * s[2] <= s[1]]
-    varied = [p for p in kept if (s := stats.get(p)) is None or s[0] < 5 or s[3] * 10 > s[0]]
-    return varied or kept
+    open_blocks = [k for k, b in enumerate(blocks) if not _boilerplate(b.path)]
+    inside = [k for k in open_blocks if _content(blocks[k].path)]
+    return ("c", inside) if inside else ("o", open_blocks)
+
+
+def text_key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
+
+
+class Reader:
+    """Pages read by their hosts' wrappers. Wrappers and places are remembered, up to a bound."""
+
+    def __init__(self):
+        self.wrappers: dict[str, Wrapper] = {}
+        self.memo: dict[tuple, list[int]] = {}
+        self.held = self.tokens = 0
+
+    def wrapper(self, text: str) -> Wrapper:
+        if text not in self.wrappers:
+            if self.held + len(text) > 4_000_000:
+                self.wrappers.clear()
+                self.held = 0
+            self.wrappers[text] = Wrapper(_load(text))
+            self.held += len(text)
+        return self.wrappers[text]
+
+    def read(self, page: str, wrapper: str) -> list[tuple[str, str, Block]]:
+        """(slot, text, block) of the page's chosen blocks, white space made single, in page order."""
+        stream, blocks = parse(page)
+        where, some = chosen(blocks)
+        if not some:
+            return []
+        key = (wrapper, *stream)
+        if key not in self.memo:
+            if self.tokens + len(key) > 1_000_000:
+                self.memo.clear()
+                self.tokens = 0
+            self.memo[key] = self.wrapper(wrapper).places(stream)
+            self.tokens += len(key)
+        places, out = self.memo[key], []
+        for k in some:
+            text = " ".join("".join(blocks[k].text).split())
+            if text:
+                # a block that the wrapper has no slot for goes by its path
+                slot = f"{where}{places[k]}" if places[k] >= 0 else f"{where}:{text_key(_dump(list(blocks[k].path))):x}"
+                out.append((slot, text, blocks[k]))
+        return out
 
 
 def _dump(stream: list) -> str:
@@ -305,36 +403,25 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+#: A text is fixed if so many tenths of the pages with its slot show it there; fewer pages than MOST_FEW prove nothing.
+FIXED, MOST_FEW = 9, 5
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """A written table: host, wrapper, keep (JSON lists) for the hosts of ``pages`` (host, html)."""
+    """A written table: host, wrapper (JSON) for the hosts of ``pages`` (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 shapes: dict[tuple[str, str], int] = {}
-                stats: dict[tuple[str, str], list] = {}
                 for host, t in zip(hosts[a:b], texts[a:b], strict=True):
-                    stream, blocks = parse(t)
-                    key = (host, _dump(fold(stream)))
+                    key = (host, _dump(fold(parse(t)[0])))
                     shapes[key] = shapes.get(key, 0) + 1
-                    for x in blocks:
-                        s = stats.setdefault((host, _dump(list(x.path))), [0, 0, 0, set()])
-                        text = "".join(x.text)
-                        s[0] += 1
-                        s[1] += len(text)
-                        s[2] += x.linked
-                        if len(s[3]) < 64:
-                            s[3].add(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1)
-                rows = [(h, s, None, n, 0, 0, 0) for (h, s), n in shapes.items()]
-                rows += [(h, None, p, s[0], s[1], s[2], len(s[3])) for (h, p), s in stats.items()]
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "shape", "path", "n", "chars", "linked", "texts"])
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, shape string, path string, n long, chars long, linked long, texts long")
-    seen = written(seen.groupBy("host", "shape", "path").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "linked", "texts")]), "shapes")
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in shapes], pa.string()), pa.array([s for _, s in shapes], pa.string()), pa.array(shapes.values(), pa.int64())], names=["host", "shape", "n"])
+
+    seen = pages.select("host", "html").mapInArrow(run, "host string, shape string, n long")
+    seen = seen.groupBy("host", "shape").agg(F.sum("n").alias("n"))
 
     def align_all(group: pa.Table) -> pa.Table:
         order = sorted(zip(group.column("n").to_pylist(), group.column("shape").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
@@ -344,26 +431,53 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pa.table({"host": group.column("host").slice(0, 1), "shape": pa.array([_dump(wrapper)]), "n": pa.array([sum(n for n, _ in order)], pa.int64())})
 
     kind = "host string, shape string, n long"
-    shapes = seen.where("shape IS NOT NULL").select("host", "shape", "n", F.pmod(F.xxhash64("shape"), F.lit(PARTS)).alias("part"))
+    shapes = seen.select("host", "shape", "n", F.pmod(F.xxhash64("shape"), F.lit(PARTS)).alias("part"))
     parts = shapes.groupBy("host", "part").applyInArrow(lambda t: align_all(t), kind)
     whole = parts.groupBy("host").applyInArrow(lambda t: align_all(t), kind)
-    paths = seen.where("path IS NOT NULL").groupBy("host").agg(F.collect_list(F.struct("path", "n", "chars", "linked", "texts")).alias("stats"))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for shape, stats in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                table = {tuple(json.loads(s["path"])): (s["n"], s["chars"], s["linked"], s["texts"]) for s in stats or []}
-                keep.append(json.dumps([list(p) for p in judge(_load(shape), table)], ensure_ascii=False))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep)], names=["host", "wrapper", "keep"])
+    return written(whole.select("host", F.col("shape").alias("wrapper")), "wrappers")
 
-    return written(whole.select("host", F.col("shape").alias("wrapper")).join(paths, "host", "left").mapInArrow(decide, "host string, wrapper string, keep string"), "wrappers")
 
+def left_out(pages: DataFrame) -> DataFrame:
+    """(host, leave): slots and fixed texts (``slot=hash``) that are not text, for ``pages`` (host, html, wrapper)."""
 
-def extract(page: str, keep: frozenset[tuple[str, ...]]) -> str:
-    """The text of the blocks whose path is in ``keep``, white space made single, joined in page order."""
-    out = [" ".join("".join(b.text).split()) for b in parse(page)[1] if b.path in keep]
-    return " ".join(x for x in out if x)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            hosts, texts, shapes = (batch.column(k).to_pylist() for k in range(3))
+            for a, b in slices(texts):
+                counts: dict[tuple[str, str, int | None], list[int]] = {}
+                for host, page, shape in zip(hosts[a:b], texts[a:b], shapes[a:b], strict=True):
+                    once = set()
+                    for slot, text, block in reader.read(page or "", shape or "[]"):
+                        for key in ((host, slot, None), (host, slot, text_key(text))):
+                            c = counts.setdefault(key, [0, 0, 0, 0])
+                            c[0] += key not in once
+                            c[1] += 1
+                            once.add(key)
+                            if key[2] is None:
+                                c[2] += sum(map(len, block.text))
+                                c[3] += block.linked
+                cols = [*zip(*counts, strict=True)] or [[]] * 3
+                cols += [*zip(*counts.values(), strict=True)] or [[]] * 4
+                kinds = [pa.string(), pa.string(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "slot", "text", "pages", "blocks", "chars", "linked"])
+
+    sums = ("pages", "blocks", "chars", "linked")
+    seen = pages.select("host", "html", "wrapper").mapInArrow(run, "host string, slot string, text long, pages long, blocks long, chars long, linked long")
+    seen = written(seen.groupBy("host", "slot", "text").agg(*[F.sum(c).alias(c) for c in sums]), "slots")
+    whole = seen.where("text IS NULL").select("host", "slot", "pages", "chars", "linked")
+    often = seen.where(F.col("text").isNotNull() & (F.col("pages") >= MOST_FEW)).select("host", "slot", "text", F.col("pages").alias("shown"))
+    fixed = whole.where(F.col("pages") >= MOST_FEW).join(often, ["host", "slot"]).where(F.col("shown") * 10 >= F.col("pages") * FIXED)
+    out = fixed.select("host", F.concat_ws("=", "slot", F.col("text").cast("string")).alias("what"))
+    links = F.col("slot").startswith("o") & (2 * F.col("linked") > F.col("chars"))
+    out = out.unionByName(whole.where(links).select("host", F.col("slot").alias("what")))
+    return written(out.groupBy("host").agg(F.array_sort(F.collect_set("what")).alias("leave")), "leave")
+
+
+def extract(blocks: list[tuple[str, str, Block]], leave: frozenset[str]) -> str:
+    """The texts of a page's blocks, less what is to be left out; a page that shows nothing else keeps its text."""
+    kept = [t for s, t, _ in blocks if s not in leave and f"{s}={text_key(t)}" not in leave]
+    return " ".join(kept or [t for s, t, _ in blocks if s not in leave] or [t for _, t, _ in blocks])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -375,21 +489,24 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     find = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
     source = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), find, 1)).alias("host"), F.col(f"`{html_col}`").alias("html"))
     known = wrappers(source)
-    joined = source.join(measured(known.select("host", "keep"), 4096), "host", "left").select("page_id", "url", "html", "keep")
+    leave = left_out(source.join(measured(known, 4096), "host", "left"))
+    known = known.join(leave, "host", "left")
+    joined = source.join(measured(known, 4096), "host", "left").select("page_id", "url", "html", "wrapper", "leave")
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset] = {}
+        reader, sets = Reader(), {}
         for batch in batches:
-            texts, keeps = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts, shapes, leaves = (batch.column(k).to_pylist() for k in range(2, 5))
             for a, b in slices(texts):
                 out = []
-                for page, keep in zip(texts[a:b], keeps[a:b], strict=True):
-                    if keep not in sets:
-                        if len(sets) > 10_000:
+                for page, shape, leave in zip(texts[a:b], shapes[a:b], leaves[a:b], strict=True):
+                    key = tuple(leave or ())
+                    if key not in sets:
+                        if len(sets) > 1_000:
                             sets.clear()
-                        sets[keep] = frozenset(map(tuple, json.loads(keep or "[]")))
-                    out.append(extract(page or "", sets[keep]))
+                        sets[key] = frozenset(key)
+                    out.append(extract(reader.read(page or "", shape or "[]"), sets[key]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, schema)

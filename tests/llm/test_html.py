@@ -49,3 +49,25 @@ def test_what_is_kept(spark):
 def test_odd_markup_ends():
     for page in ("<", "<p", "<p class=\"x", "<a href='" + "y" * 100_000, "<!--", "</p></b>", "<script>", "<p " + "\"'" * 5000, "&#0;&#x110000;&bogus;", "<p>" * 3000):
         h.parse(page)
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(k, u, t) for k, (u, t) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in h.extract_text(df).collect()}
+
+
+def test_fixed_slots_inside_articles_are_left_out(spark):
+    """Boilerplate under neutral names, a slot of its own or one of the repeated paragraphs, on every page of a host."""
+    page = "<article><h1>T{0}</h1><div class=x>By our desk</div>{1}<p>Write to us</p></article>"
+    pages = [("http://a.b/", page.format(k, "".join(f"<p>s{k}-{j}</p>" for j in range(1 + k % 3)))) for k in range(12)]
+    got = texts_of(spark, pages)
+    assert got == {k: " ".join([f"T{k}", *[f"s{k}-{j}" for j in range(1 + k % 3)]]) for k in range(12)}
+    assert texts_of(spark, [("http://a.b/", page.format(0, "<p>s</p>"))] * 8)[3] == "T0 By our desk s Write to us"
+
+
+def test_blocks_stand_in_the_wrappers_slots():
+    streams = [h.parse(t)[0] for t in ("<h1>a</h1><p>b<p>c<div>d</div>", "<h1>a</h1><p>b<div>d</div>", "<h1>a</h1><div>d</div>")]
+    w = h.fold(streams[0])
+    for x in streams[1:]:
+        w = h.fold(h.align(w, h.fold(x)))
+    assert [h.Wrapper(w).places(x) for x in streams] == [[0, 1, 1, 2], [0, 1, 2], [0, 2]]
