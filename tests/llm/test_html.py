@@ -71,3 +71,9 @@ def test_blocks_stand_in_the_wrappers_slots():
     for x in streams[1:]:
         w = h.fold(h.align(w, h.fold(x)))
     assert [h.Wrapper(w).places(x) for x in streams] == [[0, 1, 1, 2], [0, 1, 2], [0, 2]]
+
+
+def test_varied_paragraphs_stay_however_many(spark):
+    """More than 640 blocks of one place in a batch, on a host without article elements."""
+    pages = [("http://hot/", f"<div><h2>t{k}</h2>" + "".join(f"<p>p{k}-{j}</p>" for j in range(5)) + "<p>the same</p></div>") for k in range(200)]
+    assert texts_of(spark, pages) == {k: " ".join([f"t{k}", *[f"p{k}-{j}" for j in range(5)]]) for k in range(200)}
