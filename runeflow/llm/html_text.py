@@ -333,14 +333,27 @@ def _content(path: tuple[str, ...]) -> bool:
     return any(key.partition(".")[0] in CONTENT for key in path)
 
 
-def chosen(blocks: list[Block]) -> tuple[str, list[int]]:
+def _has_content(stream: list[str]) -> bool:
+    """Whether a page has an article or main element, with text or without, that isn't part of something else."""
+    path: list[str] = []
+    for x in stream:
+        if x.startswith("/"):
+            path.pop()
+        elif x != SLOT:
+            path.append(x)
+            if x.partition(".")[0] in CONTENT and not _boilerplate(tuple(path)):
+                return True
+    return False
+
+
+def chosen(stream: list[str], blocks: list[Block]) -> tuple[str, list[int]]:
     """Where the page's text may be, and the blocks there: inside its article or main elements if it has any, else all.
 
-    What is marked as something else is never among them.
+    What is marked as something else is never among them. Each page decides for itself, whatever others of its host have.
     """
     open_blocks = [k for k, b in enumerate(blocks) if not _boilerplate(b.path)]
     inside = [k for k in open_blocks if _content(blocks[k].path)]
-    return ("c", inside) if inside else ("o", open_blocks)
+    return ("c", inside) if inside or _has_content(stream) else ("o", open_blocks)
 
 
 def text_key(text: str) -> int:
@@ -367,7 +380,7 @@ class Reader:
     def read(self, page: str, wrapper: str) -> list[tuple[str, str, Block]]:
         """(slot, text, block) of the page's chosen blocks, white space made single, in page order."""
         stream, blocks = parse(page)
-        where, some = chosen(blocks)
+        where, some = chosen(stream, blocks)
         if not some:
             return []
         key = (wrapper, *stream)

@@ -77,3 +77,10 @@ def test_varied_paragraphs_stay_however_many(spark):
     """More than 640 blocks of one place in a batch, on a host without article elements."""
     pages = [("http://hot/", f"<div><h2>t{k}</h2>" + "".join(f"<p>p{k}-{j}</p>" for j in range(5)) + "<p>the same</p></div>") for k in range(200)]
     assert texts_of(spark, pages) == {k: " ".join([f"t{k}", *[f"p{k}-{j}" for j in range(5)]]) for k in range(200)}
+
+
+def test_each_page_decides_by_its_own_elements(spark):
+    """Two templates on one host, and pages without a url: those without an article keep their text."""
+    for url in ("http://two/", None):
+        pages = [(url, "<article><p>one</p></article><div>aside of it</div>"), (url, "<div><p>two</p></div>"), (url, "<article></article><p>not the article's</p>"), (url, "<aside><article><p>a card</p></article></aside><p>three</p>")]
+        assert texts_of(spark, pages) == {0: "one", 1: "two", 2: "", 3: "three"}
