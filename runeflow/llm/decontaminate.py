@@ -5,7 +5,8 @@ right singular vectors: each task adds up, over its passages ``a``, the products
 passage frequencies of the words; the inverse frequencies scale both sides afterwards, and a Nystroem step on the driver
 turns the sum into the vectors. Windows of every document are compared with the items in that space by cosine; each
 candidate is checked by the weighted share of the item's words, the longest common subsequence with the words about the
-window, and the words of the item's answer, its last part.
+window, and the words of the item's answer, its last part. Items that a document holds enough words of and that no near
+window shows are checked at all windows, so a passage is never lost for its place in the space.
 
 Texts become arrays of word numbers in the JVM; Python sees numbers only, and whole batches at a time.
 """
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 #: Words are numbered by 31 bits of a hash; the space has a dimension for each bucket of them.
 WORD_BITS = 14
-RANK, SKETCH = 24, 32
+RANK, SKETCH = 32, 40
 PASSAGE = 32
 #: Words of a step, and windows as (steps long, steps apart); an item is sought with the window nearest its length.
 STEP = 4
-WINDOWS = ((4, 1), (8, 3), (14, 5))
-COSINE = 0.6
+WINDOWS = ((1, 1), (2, 1), (3, 1), (4, 1), (8, 2), (14, 3))
+COSINE = 0.5
 #: An item is found if so much of it is a common subsequence, or less if its answer and its rare words are there too.
 WHOLE, PART, ANSWER, SHARE = 0.8, 0.55, 0.5, 0.5
 #: Items searched for in one pass over the documents, and words handled at a time.
@@ -214,6 +215,7 @@ class Searcher:
         step_row, step_in = rows[first], within[first] // STEP
         counts = -(-lengths // STEP)
         ends_of = np.cumsum(counts)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
         found = []
         for (length, apart), own, vectors in zip(WINDOWS, self.by_kind, self.vectors, strict=True):
             if vectors is None:
@@ -226,15 +228,18 @@ class Searcher:
             window_row = step_row[start]
             begins = np.flatnonzero(np.diff(window_row, prepend=-1))
             with_windows = window_row[begins]
-            candidate = np.maximum.reduceat(near, begins, axis=0) >= self.cosine
-            for a, c in zip(*np.nonzero(candidate & likely[with_windows][:, own]), strict=True):
+            closest = np.maximum.reduceat(near, begins, axis=0)
+            for a, c in zip(*np.nonzero(likely[with_windows][:, own]), strict=True):
                 row, item = int(with_windows[a]), self.items[own[c]]
                 low, high = int(begins[a]), int(begins[a + 1]) if a + 1 < len(begins) else len(start)
-                places = low + np.flatnonzero(near[low:high, c] >= self.cosine)
                 base = int(ends_of[row] - counts[row])
-                offset = int(np.sum(lengths[:row]))
-                words = numbers[offset : offset + int(lengths[row])]
-                best = self._check(item, words, (start[places] - base) * STEP, length * STEP, near[places, c])
+                words = numbers[int(offsets[row]) : int(offsets[row + 1])]
+                best = None
+                if closest[a, c] >= self.cosine:
+                    places = low + np.flatnonzero(near[low:high, c] >= self.cosine)
+                    best = self._check(item, words, (start[places] - base) * STEP, length * STEP, near[places, c])
+                if best is None:
+                    best = self._check(item, words, (start[low:high] - base) * STEP, length * STEP, near[low:high, c])
                 if best:
                     found.append((row, own[c], *best))
         return found

@@ -78,3 +78,26 @@ def test_edges(spark):
     assert d.find_leaks(docs.limit(0), items).count() == 0
     assert d.find_leaks(docs, items.limit(0)).count() == 0
     assert np.isfinite(d.fit(docs).rows).all()
+
+
+def test_no_passage_is_lost_for_its_place_in_the_space(spark):
+    """Verbatim passages of few words, and longer ones, in hosts of any language; the space may tell nothing."""
+    sf = "/root/testdata/sf0.01"
+    rnd = random.Random(5)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    hosts = [words_of(r.text) for r in docs.where("length(text) > 200").limit(300).collect()]
+    texts = [words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows, items, want = [], [], set()
+    for k in range(240):
+        w = texts[k % len(texts)]
+        w = w[: (5, 8, 12, len(w))[k // 60]]
+        host = hosts[k % len(hosts)][:1500]
+        at = rnd.randrange(len(host) + 1)
+        items.append((k, " ".join(w)))
+        rows.append((k, " ".join([*host[:at], *w, *host[at:]])))
+        want.add((k, k))
+    planted, sought = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    nothing = d.Space(np.ones(1 << d.WORD_BITS, np.float32), np.zeros((1 << d.WORD_BITS, d.RANK), np.float32))
+    for space in (d.fit(docs), nothing):
+        got = {(r.doc_id, r.item_id) for r in d.find_leaks(planted, sought, space=space).collect()}
+        assert want <= got, sorted(want - got)
