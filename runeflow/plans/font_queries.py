@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from runeflow.functions import paths
 from runeflow.functions import unicode as u
-from runeflow.operators import reports, sets, shaping
+from runeflow.operators import reports, sets, shaping, text
 from runeflow.plans.registry import query
 from runeflow.sources import fonts
 from runeflow.sources.tables import table
@@ -107,11 +107,16 @@ def font_cmap_histogram(spark, sf_dir):
 
 @query()
 def shape_documents(spark, sf_dir):
-    """Glyphs and width of the first line of every document, shaped in one face."""
-    line = F.substring_index("text", "\n", 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+    """Glyphs and width of every document, all its lines shaped in one face, and the width of each line in order."""
+    docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", text.paragraphs(F.col("text")).alias("lines"))
+    lines = F.when(F.size("lines") == 0, F.array(F.lit(""))).otherwise(F.col("lines"))
+    docs = docs.select("row", "doc_id", F.posexplode_outer(lines).alias("ix", "line"))
+    docs = docs.withColumn("line", F.regexp_replace("line", "[\\n\\r\\x1c-\\x1e\\x85\\u2029]+$", ""))
     out = shaping.shape_runs(docs, _files(spark), _SANS, "line")
-    return out.select("doc_id", F.size("glyphs").alias("n_glyphs"), F.aggregate(F.transform("glyphs", lambda g: g["advance"]), F.lit(0), lambda a, b: a + b).alias("width"))
+    width = F.aggregate(F.transform("glyphs", lambda g: g["advance"]), F.lit(0), lambda a, b: a + b)
+    out = out.select("row", "doc_id", "ix", F.size("glyphs").alias("n"), width.alias("w"))
+    out = out.groupBy("row", "doc_id").agg(F.sum("n").alias("n_glyphs"), F.sum("w").alias("width"), F.array_sort(F.collect_list(F.struct("ix", "w"))).alias("by_line"))
+    return out.select("doc_id", "n_glyphs", "width", F.transform("by_line", lambda x: x["w"]).alias("line_widths"))
 
 
 @query()
