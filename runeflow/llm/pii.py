@@ -93,26 +93,32 @@ _TIMES = {"double": 2, "triple": 3}
 _WORDS = frozenset([*_SPELLED, *_TIMES])
 _DIGIT_WORD = "|".join([*_SPELLED, *_TIMES])
 _DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[ ,.-]+)?(?:{_DIGIT_WORD})(?:[ ,-]*(?:{_DIGIT_WORD}|[0-9](?![0-9A-Za-z]*[A-Za-z])))*(?![A-Za-z])", re.I | re.A)
-_SOME_DIGITS = re.compile(rf"(?:\b(?:{_DIGIT_WORD})[ ,-]+){{2}}", re.I | re.A)
+#: No narrower than a run of three: its first word is followed by another one or by a digit.
+_SOME_DIGITS = re.compile(rf"(?<![A-Za-z])(?:{_DIGIT_WORD})(?=[ ,-]*(?:{_DIGIT_WORD}|[0-9]))", re.I | re.A)
 _DIGIT_PART = re.compile(rf"{_DIGIT_WORD}|[0-9]|plus", re.I | re.A)
 
 # Disguises of the at sign and the dot.
-_AT_MARK = r"[ ]*[\[({<][ ]*(?:at|@|arroba)[ ]*[\])}>][ ]*"
-_DOT_MARK = r"[ ]*[\[({<][ ]*(?:dot|\.|punto|punkt)[ ]*[\])}>][ ]*"
-_DOT = rf"(?:{_DOT_MARK}|[ ]+(?:dot|punto|punkt)[ ]+|\.)"
-_WORD_DOT = rf"(?:{_DOT_MARK}|[ ]+(?:dot|punto|punkt)[ ]+)"
+_AT_WORD, _DOT_WORDS = r"at|arroba", ("dot", "punto", "punkt")
+_DOT_WORD = "|".join(_DOT_WORDS)
+_AT_IN = rf"[\[({{<][ ]*(?:{_AT_WORD}|@)[ ]*[\])}}>]"
+_DOT_IN = rf"[\[({{<][ ]*(?:{_DOT_WORD}|\.)[ ]*[\])}}>]"
+_AT_MARK, _DOT_MARK = rf"[ ]*{_AT_IN}[ ]*", rf"[ ]*{_DOT_IN}[ ]*"
+_WORD_DOT = rf"(?:{_DOT_MARK}|[ ]+(?:{_DOT_WORD})[ ]+)"
+_DOT = rf"(?:{_WORD_DOT}|\.)"
 _NAME = r"[A-Za-z0-9_%+-]+"
 _LABEL = r"[A-Za-z0-9-]+"
 _TOP = r"(?:com|net|org|edu|gov|info|biz|io|dev|app|co|uk|de|fr|es|it|nl|eu|ch|at|be|pt|pl|us|ca|mx|br|ar|in|jp|cn|ru|au)"
 #: A marked at with any dots; a bare "at" only between name and domain whose dots are spelled and whose end is known.
 _MAIL = re.compile(
     rf"(?P<n1>{_NAME}(?:{_DOT}{_NAME})*?)(?P<a1>{_AT_MARK})(?P<d1>{_LABEL}(?:{_DOT}{_LABEL})+)"
-    rf"|(?P<n2>{_NAME}(?:{_WORD_DOT}{_NAME})*?)(?P<a2>[ ]+(?:at|arroba)[ ]+)(?P<d2>{_LABEL}(?:{_WORD_DOT}{_LABEL})*?{_WORD_DOT}{_TOP})(?![A-Za-z0-9-])"
+    rf"|(?P<n2>{_NAME}(?:{_WORD_DOT}{_NAME})*?)(?P<a2>[ ]+(?:{_AT_WORD})[ ]+)(?P<d2>{_LABEL}(?:{_WORD_DOT}{_LABEL})*?{_WORD_DOT}{_TOP})(?![A-Za-z0-9-])"
     rf"|(?P<n3>{_NAME}(?:{_DOT}{_NAME})*?)(?P<a3>@)(?P<d3>{_LABEL}(?:{_DOT}{_LABEL})*?{_WORD_DOT}{_LABEL})(?![A-Za-z0-9-])",
     re.I | re.A,
 )
-_MARKS = re.compile(_DOT_MARK + r"|[ ]+(?:dot|punto|punkt)[ ]+", re.I | re.A)
-_DISGUISED = re.compile(r"[\[({<] ?(?:at|@|arroba|dot|\.|punto|punkt) ?[\])}>]| (?:dot|punto|punkt) ", re.I | re.A)
+_MARKS = re.compile(_WORD_DOT, re.I | re.A)
+#: Every alternative of the pattern has one of these in it, whatever the spaces.
+_DISGUISED = re.compile(rf"{_AT_IN}|{_DOT_IN}", re.I | re.A)
+_SPACED = re.compile(rf"[ ](?:{_DOT_WORD})[ ]", re.I | re.A)
 _REACH = 400
 
 
@@ -184,10 +190,13 @@ def marks(tape: Tape) -> Tape:
 
 def _windows(text: str) -> list[tuple[int, int]]:
     """Where transducers have anything to do: around each trigger, as far as an identifier reaches, joined if they touch."""
-    hits = [m.span() for m in _DISGUISED.finditer(text)] if _likely(text) else []
+    low = text.lower()
+    hits = [m.span() for m in _DISGUISED.finditer(text)] if any(c in text for c in "[({<") else []
+    if any(w in low for w in _DOT_WORDS):
+        hits += [m.span() for m in _SPACED.finditer(text)]
     if not text.isascii():
         hits += [m.span() for m in _ODD.finditer(text)]
-    if not _WORDS.isdisjoint(text.lower().replace(",", " ").replace("-", " ").split()):
+    if any(w in low for w in _WORDS):
         hits += [m.span() for m in _SOME_DIGITS.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(hits):
@@ -199,15 +208,10 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _likely(text: str) -> bool:
-    low = text.lower()
-    return any(x in low for x in (" dot ", " punto ", " punkt ", "at]", "at)", "at}", "at>", "at ]", "at )", "dot", "[@", "(@", "{@", "arroba", "[.]", "(.)", "{.}"))
-
-
-def added_spans(text: str) -> list[tuple[str, int, int]]:
+def added_spans(text: str, windows: list[tuple[int, int]] | None = None) -> list[tuple[str, int, int]]:
     """Disguised identifiers, in source characters."""
     out = set()
-    for a, b in _windows(text):
+    for a, b in _windows(text) if windows is None else windows:
         tape = marks(spelled(alike(Tape(text[a:b], a))))
         if any(tape.changed):
             for kind, s, e in base_spans(tape.text):

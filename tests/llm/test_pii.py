@@ -79,3 +79,24 @@ def test_redaction_and_edges(spark):
 def test_long_digit_runs_are_linear():
     assert pii.base_spans("1" * 200_000 + "." + "2" * 100_000) == []
     assert pii.base_spans("a" * 300_000 + "@") == []
+
+
+def test_the_trigger_is_never_narrower_than_the_patterns():
+    for t in ("maria@correo(punto)es", "anna@firma[punkt]de", "joe <@> example.com", "joe [ @ ] example.com", "joe { at } example.com", "joe [  at   ] example.com", "joe (ARROBA) x.com", "a (  dot  ) b@c[ . ]de"):
+        assert any(k == "email" for k, _, _ in pii.added_spans(t)), t
+    assert any(k == "phone" for k, _, _ in pii.added_spans("+1 five 5 five 2 three 4 nine 8 seven 6"))
+    rnd = random.Random(6)
+    some = lambda *x: rnd.choice(x)
+    gap = lambda: " " * some(0, 0, 1, 2, 5)
+    mark = lambda *x: gap() + some("[({<", "[({<")[rnd.randrange(4)] + gap() + some(*x) + gap() + "])}>"[rnd.randrange(4)] + gap()
+    dot = lambda: some(".", ".", mark("dot", ".", "Punto", "punkt"), gap() + some("dot", "punto") + gap())
+    found = 0
+    for _ in range(6_000):
+        at = some("@", mark("at", "@", "ARROBA"), gap() + "at" + gap())
+        t = some("", "joe" + dot()) + "ann" + at + "mail" + dot() + "com" + some("", " and ", dot() + "uk")
+        if rnd.random() < 0.3:
+            t = some("", "+1 ", "plus ") + "".join(some("one", "Two", "double", "nine", "5", "07") + some(" ", "", "-", ", ") for _ in range(16))
+        want = pii.added_spans(t, [(0, len(t))])
+        found += bool(want)
+        assert pii.added_spans(t) == want, t
+    assert found > 1000
