@@ -78,12 +78,12 @@ def font_filter(spark, sf_dir):
 
 
 def _scripts(spark):
-    return u.property_table(spark, "script", "general_category", last=0xFFFF).where("general_category NOT IN ('Unassigned', 'Surrogate', 'Private_Use') AND script NOT IN ('Common', 'Inherited', 'Unknown')").select("cp", "script")
+    return u.property_table(spark, "script", "general_category").where("general_category NOT IN ('Unassigned', 'Surrogate', 'Private_Use') AND script NOT IN ('Common', 'Inherited', 'Unknown')").select("cp", "script")
 
 
 @query()
 def font_script_coverage(spark, sf_dir):
-    """Scripts of the basic plane that faces cover by more than half."""
+    """Scripts that faces cover by more than half."""
     have, need = fonts.cmap(_files(spark)).select("path", "cp"), _scripts(spark)
     c = sets.coverage(have, need, "path", "script")
     return c.withColumn("percent", F.round(100 * F.col("covered") / F.col("total"), 3)).where("percent > 50")

@@ -227,8 +227,8 @@ def ucd_script_ranges(spark, sf_dir):
 
 @query()
 def ucd_properties(spark, sf_dir):
-    """Every property of every code point of the first plane's letters and marks areas."""
-    return u.property_table(spark, *u.ENUMERATED, *u.BINARY, last=0x33FF)
+    """Every property of every code point."""
+    return u.property_table(spark, *u.ENUMERATED, *u.BINARY)
 
 
 @query()

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from runeflow.plans import font_queries
+from runeflow.plans import font_queries, text_queries
 from runeflow.sources import fonts
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(fonts.DEJAVU), reason="no fonts here")
@@ -16,3 +16,10 @@ def test_all_lines_of_a_document_are_shaped(spark, tmp_path):
     assert (got[3].n_glyphs, got[3].width) == (2 * av.n_glyphs + to.n_glyphs, 2 * av.width + to.width)
     assert got[3].line_widths == [av.width, to.width, 0, av.width]
     assert (got[4].n_glyphs, got[4].width, got[5].width) == (0, 0, None)
+
+
+def test_scripts_outside_the_first_plane_are_there(spark):
+    c = {r.script: r for r in font_queries.font_script_coverage(spark, "").where("path LIKE '%/DejaVuSans.ttf'").collect()}
+    assert (c["Old_Italic"].covered, c["Old_Italic"].total) == (35, 39)
+    assert any(r.script == "Old_Italic" for r in font_queries.font_script_top3(spark, "").collect())
+    assert text_queries.ucd_properties(spark, "").count() == 0x110000
