@@ -1,6 +1,6 @@
 """Secrets in whole texts: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a run of 16 or more key characters with a letter and a digit in it that no fixed pattern covers. The
+A candidate is any run of 16 or more key characters that no fixed pattern covers, with digits or without. The
 network sees it with the characters around it, in windows that together cover all of it, and takes the highest score. It
 is trained in numpy on labelled findings that a seeded generator writes: keys of many shapes in the settings, code and
 prose they turn up in, and what merely looks like one. Scores are calibrated on held-out findings (Platt), and the
@@ -30,7 +30,6 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYISH = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile("[0-9]")
 _HEX_BYTES = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _HEX_RUN = b"1" * 24
 
@@ -193,14 +192,19 @@ def labelled_findings(rows: int, seed: int = 3) -> list[tuple[str, int, int, int
         lambda: word() + word() + word() + str(rnd.randint(1, 9999)),
         lambda: f"{word()}-{word()}-{word()}-{rnd.randint(1, 2030)}",
         lambda: "=" * rnd.randint(10, 30) + word() + str(rnd.randint(1, 9)) + "-" * rnd.randint(10, 30),
+        lambda: rnd.choice("-_./").join(word() for _ in range(rnd.randint(3, 7))),
+        lambda: "".join(word() for _ in range(rnd.randint(3, 5))),
+        lambda: "".join(word().title() for _ in range(rnd.randint(3, 6))),
+        lambda: rnd.choice("-=._/+") * rnd.randint(16, 80),
+        lambda: some(string.digits, rnd.randint(16, 30)),
     ]
     settings = ["key = ", "KEY: ", "auth=", "Authorization: Bearer ", "export CRED=", "client_id: '", 'credentials": "', "use ", "signing key ", "access: ", "hash ", "id ", "see ", "", "file ", "version "]
     out = []
     for i in range(rows):
         label = i % 2
         body = rnd.choice(keys if label else looks)()
-        if not (re.search("[A-Za-z]", body) and _DIGIT.search(body)) or len(body) < 16:
-            body += "a7" + some(string.digits if label else "0", max(0, 14 - len(body)))
+        while len(body) < 16:
+            body += word()
         before = prose(rnd.randint(0, 6)) + rnd.choice([" ", "\n", ". "]) + rnd.choice(settings)
         text = before + body + rnd.choice([" ", '"', "'", "\n", ". ", ","]) + prose(rnd.randint(0, 3))
         out.append((text, len(before), len(before) + len(body), label))
@@ -237,15 +241,10 @@ def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a letter and a digit that meet no base span."""
-    if not _DIGIT.search(text):
-        return []
+    """Runs of key characters that meet no base span."""
     out, k = [], 0
     for m in _KEYISH.finditer(text):
         a, b = m.span()
-        body = m[0]
-        if not _DIGIT.search(body) or not any(c.isalpha() for c in body):
-            continue
         while k < len(base) and base[k][2] <= a:
             k += 1
         if any(s < b and e > a for _, s, e in base[max(0, k - 3) :]):

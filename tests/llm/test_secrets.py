@@ -59,3 +59,17 @@ def test_edges(spark):
     assert sorted(r.n_assign for r in out.collect()) == [0, 1, 1]
     assert [c.lower() for c in out.columns].count("spans") == 1
     assert s.find_secrets(df.limit(0)).count() == 0
+
+
+def test_keys_without_a_digit_are_scored_and_prose_is_not_a_key():
+    net = s.train()
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rnd.choice(letters) for _ in range(rnd.randint(20, 40))) for _ in range(400)]
+    assert s.candidates(f"key = {keys[0]} now", []) == [(6, 6 + len(keys[0]))]
+    found = s.scan([f"set key = {k} now" for k in keys], net)
+    assert np.mean([any(x[0] == "generic" for x in every) for _, every in found]) >= 0.95
+    words = ["internationalization", "Bundesverfassungsgericht", "state-of-the-art-methods", "www.example.com/about/company", "----------------------", "some_function_name_here", "responsabilidades/internacionales"]
+    assert [w for w, (_, every) in zip(words, s.scan([f"we read {w} there" for w in words], net), strict=True) if every] == []
+    bodies = [t[a:b] for t, a, b, label in s.labelled_findings(4000, seed=5) if label]
+    assert any(not re.search("[0-9]", x) for x in bodies)
