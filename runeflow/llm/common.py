@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -84,6 +85,16 @@ def slices(texts: Sequence[str | None], most: int = SLICE_CHARS) -> Iterator[tup
         yield start, len(texts)
 
 
+def let_go() -> None:
+    """What a task held goes back to the system: a worker lives on after its task, beside the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 def append_columns(df: DataFrame, text_col: str, fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable[[list], Sequence]], carry: Sequence[str] | None = None) -> DataFrame:
     """``df`` with one output column a field, computed from the whole texts by ``make()(texts)``.
 
@@ -114,6 +125,6 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[tuple[str, T.D
                     yield pa.RecordBatch.from_arrays(cols, names=names)
         finally:  # a worker lives on after its task; what the task held must not
             fn = None
-            gc.collect()
+            let_go()
 
     return source.mapInArrow(run, schema)

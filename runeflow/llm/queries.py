@@ -67,7 +67,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word sets are alike by 0.8 or more."""
-    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query

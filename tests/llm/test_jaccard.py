@@ -63,7 +63,7 @@ def test_whole_table_against_brute_force(spark):
     assert got == brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])
 
 
-@pytest.mark.parametrize("block", [3000, 6])
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 6])
 def test_random_texts_and_large_blocks(spark, block):
     rows = varied(3, 300)
     assert groups(spark, rows, block=block) == brute(rows)
@@ -100,6 +100,44 @@ def test_reach_bounds_every_partner_size():
 
 def test_edges(spark):
     df = spark.createDataFrame([(4, "a b c d e f", 1), (4, "a b c d e f", 1), (9, "A b c d e f", 2), (None, "a b c d e f", 3)], "doc_id long, text string, component_id int")
-    got = sorted(map(tuple, jaccard.jaccard_groups(df).collect()), key=str)
-    assert got == sorted([(4, 2, 4), (4, 2, 4), (9, 2, 4), (None, 2, None)], key=str)
+    got = jaccard.jaccard_groups(df)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == sorted([(4, 2, 4), (4, 2, 4), (9, 2, 4), (None, 2, None)], key=str)
+    assert sorted(r.doc_id or 0 for r in got.where("kept").collect()) == [0, 4]
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
+
+
+def test_an_id_on_several_texts_keeps_the_links_of_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (5, a + " x"), (6, b + " y"), (7, "c d"), (7, "e f"), (0, None), (0, None)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "component_id").collect())) == [(0, 0), (0, 0), (1, 1), (1, 1), (5, 1), (6, 1), (7, 7), (7, 7)]
+    assert sorted(r.doc_id for r in got.where("kept").collect()) == [0, 0, 1, 1, 7, 7]
+
+
+def test_members_of_many_sets_come_back_from_the_chunk_itself(spark, monkeypatch):
+    """With small chunks and a low bound for hot members all ways of an answer are taken."""
+    rows = varied(9, 300, vocab=60)
+    for name, value in (("HOT", 2), ("CHUNK", 900), ("BUCKET", 200)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert groups(spark, rows) == brute(rows)
+
+
+def test_a_subtree_is_left_where_what_remains_cannot_reach_the_overlap(monkeypatch):
+    """Sets without a partner are told apart before their leaves: far fewer postings are read than all paths hold."""
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 4000, 400).astype(np.uint64)) for _ in range(80)]
+    read = []
+    monkeypatch.setattr(jaccard, "POSTINGS", 50)
+    count = np.bincount
+    monkeypatch.setattr(jaccard.np, "bincount", lambda x, **k: read.append(len(x)) or count(x, **k))
+    assert jaccard.tree_links(sets) == []
+    every = np.unique(np.concatenate(sets), return_counts=True)[1]
+    assert sum(read) < 0.5 * (every[every > 1] ** 2).sum()
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:140_000])), (3, " ".join(long[:90_000]))]
+    got = groups(spark, rows)
+    assert got[1][1] == got[2][1] == 1 and got[3] == (89_996, 3)
