@@ -286,6 +286,27 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
     return source.mapInArrow(run, schema)
 
 
+def bpe_round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``df`` with ``token_ids`` of each whole text and ``decoded`` (binary), their bytes: both in one pass, by one worker.
+
+    A null or empty text has no ids and no bytes. Repeated rows stay; an empty table gives an empty one. Input columns of
+    these names are replaced.
+    """
+
+    def make():
+        coder = load(path, pattern)
+
+        def run(texts):
+            ids = coder.encode_arrays(texts)
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            # a text at a time, so that no slice of numbers turns into Python objects at once
+            return ids, pa.array([coder.decode_bytes(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+        return run
+
+    return append_columns(df, text_col, [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())], make, carry)
+
+
 def bpe_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: each text is encoded and its ids decoded in one pass.
 

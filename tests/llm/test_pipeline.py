@@ -52,10 +52,47 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     print(kept)
 
 
-def test_repeated_rows_and_nulls_pass_through(spark, tmp_path):
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+A, B = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+
+
+def test_repeated_rows_and_nulls_pass_through(spark):
     import corpus_pipeline as p
 
-    df = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "A b c d e f", None, None, None), (3, None, None, None, None), (None, "x y", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "A b c d e f", None, None, None), (3, None, None, None, None), (None, "x y", None, None, None)]
+    df = spark.createDataFrame(rows, KIND)
     assert sorted((str(r.doc_id) for r in p.drop_near_duplicates(spark, df, "").collect())) == ["1", "3", "None"]
     assert p.redact(spark, df, "").count() == 5
     assert p.encode(spark, df, "").count() == 5
+
+
+def test_each_text_of_an_id_counts_by_itself(spark):
+    import corpus_pipeline as p
+
+    df = spark.createDataFrame([(1, A), (1, B), (1, A), (5, A + " x"), (6, B + " y"), (6, "c d"), (7, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, (r.text or "")[:2]) for r in p.drop_near_duplicates(spark, df, "").collect())
+    assert got == [(1, "a0"), (1, "b0"), (6, "c "), (7, "")]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (9, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, A), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d
+
+
+def test_stages_on_nulls_empty_tables_and_clashing_names(spark, folder):
+    import corpus_pipeline as p
+
+    rows = [(1, "fine words here", 0.5), (2, None, None), (None, "", None), (None, "x " + A, None), (4, "y " + A + " z", None), (None, "x y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    for name in ("predicted", "found", "sig", "kept", "spans", "cls", "component", "token_ids", "decoded", "n", "row", "words", "item_id", "bucket"):
+        df = df.selectExpr("*", f"'mine' AS `{name}`")
+    for name, stage in p.STAGES:
+        out = stage(spark, df, folder)
+        if name != "byte_bpe":
+            assert out.columns == df.columns
+            assert {r.found for r in out.collect()} <= {"mine"}
+        assert stage(spark, df.limit(0), folder).count() == 0
+    assert sorted((r.text or "") for r in p.drop_leaks(spark, df, folder).collect()) == ["", "", "fine words here", "x y"]
