@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import Memo
 from .common import append_columns, cut, let_go, slices, written
 from .graph import BROADCAST_BYTES, components, measured
 
@@ -49,7 +48,7 @@ _NOBODY = np.uint16(65_535)
 #: A member that so many sets of a chunk hold stands last in the order, wherever it is.
 HOT = 64
 #: Sets that one task joins, and rounds of leaders for blocks beyond that.
-BLOCK, LEADER_ROUNDS = 256, 4
+BLOCK, LEADER_ROUNDS = 128, 4
 #: Postings that are counted at a time.
 POSTINGS = 200_000
 
@@ -64,27 +63,57 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _table() -> np.ndarray:
+    """A random number for each byte at each of 256 places."""
+    return finish(np.arange(1, 65_537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_TABLE = _table()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each word of ``data``: the sum of its bytes' numbers, and its length, mixed."""
+    x = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(~_SPACE[x])
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    lengths = np.diff(first, append=len(at))
+    within = np.arange(len(at)) - np.repeat(first, lengths)
+    values = _TABLE[((within & 255) << 8) | x[at]]
+    if lengths.max() > 256:
+        values = values * (2 * (within >> 8) + 1).astype(np.uint64)
+    return at[first], finish(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams; words are bytes, A-Z lower-cased, between ASCII spaces."""
 
     def __init__(self, n: int = N):
         self.n = n
-        self.memo = Memo(lambda keys: [xxhash.xxh64_intdigest(k) for k in keys], 200_000)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        lists = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        known, _ = self.memo.learn(lists)
-        return [self._set(np.fromiter(map(known.__getitem__, x), np.uint64, len(x))) for x in lists]
-
-    def _set(self, words: np.ndarray) -> np.ndarray:
-        if not len(words):
-            return words
-        n = min(self.n, len(words))
-        m = len(words) - n + 1
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        place, words = word_hashes(b"\n".join(parts).lower())
+        ends = np.searchsorted(place, np.cumsum([len(p) + 1 for p in parts]))
+        grams = self._grams(words, self.n)
+        return [self._set(words, grams, int(a), int(b)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    @staticmethod
+    def _grams(words: np.ndarray, n: int) -> np.ndarray:
+        m = max(0, len(words) - n + 1)
         h = np.full(m, np.uint64(n))  # a short text's own length keeps it apart from longer n-grams
         for k in range(n):
             h += words[k : k + m] * _MIX[k]
-        return np.unique(finish(h))
+        return finish(h)
+
+    def _set(self, words: np.ndarray, grams: np.ndarray, a: int, b: int) -> np.ndarray:
+        if b - a < self.n:
+            return self._grams(words[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+        s = np.sort(grams[a : b - self.n + 1])
+        return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def least_overlap(n: int) -> int:
