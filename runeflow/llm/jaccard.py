@@ -47,8 +47,8 @@ CHUNK_ROWS = 60_000
 _NOBODY = np.uint16(65_535)
 #: A member that so many sets of a chunk hold stands last in the order, wherever it is.
 HOT = 64
-#: Sets that one task joins, and rounds of leaders for blocks beyond that.
-BLOCK, LEADER_ROUNDS = 128, 4
+#: Sets that one task joins; for blocks beyond that, rounds of leaders and leaders of a block in each.
+BLOCK, LEADER_ROUNDS, LEADERS = 128, 4, 8
 #: Postings that are counted at a time.
 POSTINGS = 200_000
 
@@ -512,20 +512,21 @@ def block_links(sets: DataFrame, blocks: DataFrame, most: int = BLOCK) -> DataFr
     def join(group: pa.Table) -> pa.Table:
         return _links(group.column("cls").to_pylist(), tree_links(_arrays(group.column("tokens"))))
 
-    links = small.groupBy("block").applyInArrow(join, "a long, b long")
+    links = written(small.groupBy("block").applyInArrow(join, "a long, b long"), "links")
     if not large.limit(1).count():
         return links
     more = written(sets.join(measured(written(blocks.join(measured(large), "block"), "seats")), "cls"), "large")
-    return links.union(_large_links(more, most))
+    return links.union(_large_links(more, max(2, most * 3 // 4)))
 
 
 def _large_links(blocks: DataFrame, most: int) -> DataFrame:
     """Links in blocks beyond a task: leaders first, each against its whole block, then pairs of parts of what is apart."""
     found: list[DataFrame] = []
     state = written(blocks.select("cls", "block", F.lit(False).alias("led")), "state")
-    for _ in range(LEADER_ROUNDS):
-        # the least set of each block that is in no leader's group leads next
-        leaders = state.where(~F.col("led")).groupBy("block").agg(F.min("cls").alias("leader"))
+    for k in range(LEADER_ROUNDS):
+        # some sets of each block that are in no leader's group lead next
+        draw = F.xxhash64("cls", F.lit(k))
+        leaders = state.where(~F.col("led")).groupBy("block", F.pmod(draw, F.lit(LEADERS)).alias("seat")).agg(F.min_by("cls", F.struct(draw, "cls")).alias("leader")).drop("seat")
         leaders = written(leaders.join(blocks.select(F.col("cls").alias("leader"), F.col("tokens").alias("lead")), "leader"), "leaders")
         held = leaders.agg(F.sum(F.octet_length("lead") + 64)).first()[0]
         if not held:
