@@ -101,3 +101,36 @@ def test_no_passage_is_lost_for_its_place_in_the_space(spark):
     for space in (d.fit(docs), nothing):
         got = {(r.doc_id, r.item_id) for r in d.find_leaks(planted, sought, space=space).collect()}
         assert want <= got, sorted(want - got)
+
+
+def test_recall_of_rewordings_against_the_rule(spark):
+    """Of rewordings that satisfy the rule of subsequence and answer, whatever their rare words, nine of ten are found."""
+    sf = "/root/testdata/sf0.01"
+    rnd = random.Random(11)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    hosts = [words_of(r.text) for r in docs.where("length(text) between 1500 and 20000").limit(150).collect()]
+    fill = [w for h in hosts for w in h]
+    items = [(r.item_id, words_of(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows, want = [], {}
+    for rate in (0.15, 0.25, 0.35, 0.42):
+        for k in range(120):
+            item, x = items[k % len(items)]
+            y = [w if rnd.random() > rate else rnd.choice(fill) for w in x]
+            answer, share = set(x[-max(3, len(x) // 4) :]), plain_lcs(x, y) / len(x)
+            if share >= 0.8 or (share >= 0.55 and len(answer & set(y)) >= 0.5 * len(answer)):
+                host = hosts[len(rows) % len(hosts)]
+                at = rnd.randrange(len(host) + 1)
+                want.setdefault(rate, set()).add((len(rows), item))
+                rows.append((len(rows), " ".join([*host[:at], *y, *host[at:]])))
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.find_leaks(planted, spark.read.parquet(f"{sf}/benchmark.parquet"), space=d.fit(docs)).collect()}
+    print({rate: (len(got & w), len(w)) for rate, w in want.items()})
+    assert all(len(got & w) >= 0.9 * len(w) for w in want.values())
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long + " one two three four five six", "x", 1.0)], "doc_id long, text string, words string, cosine double")
+    items = spark.createDataFrame([(7, "one two three four five six", "y")], "item_id long, text string, doc_id string")
+    got = d.find_leaks(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.subsequence) for r in got] == [(1, 7, 1.0)]
