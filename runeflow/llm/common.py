@@ -105,7 +105,7 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[tuple[str, T.D
     made = {name.lower() for name, _ in fields}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in made]
     text_at = len(kept)
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))  # read by place, so its name may clash
     schema = T.StructType([source.schema[c] for c in source.columns[:text_at]] + [T.StructField(n, t) for n, t in fields])
     types = [to_arrow_type(t) for _, t in fields]
     names = [f.name for f in schema]

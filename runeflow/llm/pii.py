@@ -87,39 +87,50 @@ _ALIKE |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-
 _ALIKE |= dict.fromkeys("­​‌‍⁠﻿", "")
 _ODD = re.compile("[" + "".join(map(re.escape, _ALIKE)) + "]")
 
-# Spelled digits and the words that double or triple the next one.
+# Spelled digits of English, German, French and Spanish, and words that double or triple the next one.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_TIMES = {"double": 2, "triple": 3}
+_SPELLED |= {"null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+_SPELLED |= {"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
+_SPELLED |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+_TIMES = {"double": 2, "triple": 3, "doppel": 2, "dreifach": 3, "doble": 2}
+_PLUS = "plus|más"
 _WORDS = frozenset([*_SPELLED, *_TIMES])
-_DIGIT_WORD = "|".join([*_SPELLED, *_TIMES])
-_DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[ ,.-]+)?(?:{_DIGIT_WORD})(?:[ ,-]*(?:{_DIGIT_WORD}|[0-9](?![0-9A-Za-z]*[A-Za-z])))*(?![A-Za-z])", re.I | re.A)
+_DIGIT_WORD = "|".join(sorted([*_SPELLED, *_TIMES], key=len, reverse=True))
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_DIGIT_RUN = re.compile(rf"(?<![{_LETTER}])(?:(?:{_PLUS})[ ,.-]+)?(?:{_DIGIT_WORD})(?:[ ,-]*(?:{_DIGIT_WORD}|[0-9](?![0-9A-Za-z]*[A-Za-z])))*(?![{_LETTER}])", re.I)
 #: No narrower than a run of three: its first word is followed by another one or by a digit.
-_SOME_DIGITS = re.compile(rf"(?<![A-Za-z])(?:{_DIGIT_WORD})(?=[ ,-]*(?:{_DIGIT_WORD}|[0-9]))", re.I | re.A)
-_DIGIT_PART = re.compile(rf"{_DIGIT_WORD}|[0-9]|plus", re.I | re.A)
+_SOME_DIGITS = re.compile(rf"(?<![{_LETTER}])(?:{_DIGIT_WORD})(?=[ ,-]*(?:{_DIGIT_WORD}|[0-9]))", re.I)
+_DIGIT_PART = re.compile(rf"{_DIGIT_WORD}|[0-9]|{_PLUS}", re.I)
 
 # Disguises of the at sign and the dot.
-_AT_WORD, _DOT_WORDS = r"at|arroba", ("dot", "punto", "punkt")
-_DOT_WORD = "|".join(_DOT_WORDS)
+_AT_WORDS, _DOT_WORDS = ("at", "arroba", "arobase", "klammeraffe"), ("dot", "punto", "punkt", "point")
+_AT_WORD, _DOT_WORD = "|".join(_AT_WORDS), "|".join(_DOT_WORDS)
 _AT_IN = rf"[\[({{<][ ]*(?:{_AT_WORD}|@)[ ]*[\])}}>]"
 _DOT_IN = rf"[\[({{<][ ]*(?:{_DOT_WORD}|\.)[ ]*[\])}}>]"
-_AT_MARK, _DOT_MARK = rf"[ ]*{_AT_IN}[ ]*", rf"[ ]*{_DOT_IN}[ ]*"
-_WORD_DOT = rf"(?:{_DOT_MARK}|[ ]+(?:{_DOT_WORD})[ ]+)"
+_WORD_DOT = rf"(?:[ ]*{_DOT_IN}[ ]*|[ ]+(?:{_DOT_WORD})[ ]+)"
 _DOT = rf"(?:{_WORD_DOT}|\.)"
-_NAME = r"[A-Za-z0-9_%+-]+"
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 _LABEL = r"[A-Za-z0-9-]+"
 _TOP = r"(?:com|net|org|edu|gov|info|biz|io|dev|app|co|uk|de|fr|es|it|nl|eu|ch|at|be|pt|pl|us|ca|mx|br|ar|in|jp|cn|ru|au)"
-#: A marked at with any dots; a bare "at" only between name and domain whose dots are spelled and whose end is known.
-_MAIL = re.compile(
-    rf"(?P<n1>{_NAME}(?:{_DOT}{_NAME})*?)(?P<a1>{_AT_MARK})(?P<d1>{_LABEL}(?:{_DOT}{_LABEL})+)"
-    rf"|(?P<n2>{_NAME}(?:{_WORD_DOT}{_NAME})*?)(?P<a2>[ ]+(?:{_AT_WORD})[ ]+)(?P<d2>{_LABEL}(?:{_WORD_DOT}{_LABEL})*?{_WORD_DOT}{_TOP})(?![A-Za-z0-9-])"
-    rf"|(?P<n3>{_NAME}(?:{_DOT}{_NAME})*?)(?P<a3>@)(?P<d3>{_LABEL}(?:{_DOT}{_LABEL})*?{_WORD_DOT}{_LABEL})(?![A-Za-z0-9-])",
-    re.I | re.A,
-)
+#: A marked at with any dots; a bare one only before a domain whose dots are spelled and whose end is known; a plain sign
+#: before a domain with a spelled dot.
+_AT_ANY = re.compile(rf"(?P<marked>[ ]*{_AT_IN}[ ]*)|(?P<bare>[ ]+(?:{_AT_WORD})[ ]+)|(?P<plain>@)", re.I | re.A)
+_AFTER = {
+    "marked": re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I | re.A),
+    "bare": re.compile(rf"{_LABEL}(?:{_WORD_DOT}{_LABEL})*?{_WORD_DOT}{_TOP}(?![A-Za-z0-9-])", re.I | re.A),
+    "plain": re.compile(rf"{_LABEL}(?:\.{_LABEL})*{_WORD_DOT}{_LABEL}(?:(?:[ ]*{_DOT_IN}[ ]*|\.){_LABEL}|[ ]+(?:{_DOT_WORD})[ ]+{_TOP}(?![A-Za-z0-9-]))*", re.I | re.A),
+}
 _MARKS = re.compile(_WORD_DOT, re.I | re.A)
-#: Every alternative of the pattern has one of these in it, whatever the spaces.
+#: Every disguised mail has one of these in it, whatever the spaces.
 _DISGUISED = re.compile(rf"{_AT_IN}|{_DOT_IN}", re.I | re.A)
 _SPACED = re.compile(rf"[ ](?:{_DOT_WORD})[ ]", re.I | re.A)
-_REACH = 400
+#: Where no identifier reaches across, plain or disguised: a character that is in no pattern, or the space between two
+#: plain words, as patterns take spaces only beside digits, marks and the words above.
+_SAID = "|".join(sorted({*_WORDS, *_AT_WORDS, *_DOT_WORDS, *_PLUS.split("|")}, key=len, reverse=True))
+_PLAIN_WORD = rf"(?!(?:{_SAID})[ \n])[A-Za-z]+"
+_CUT = re.compile(rf"[\n;!?\"'/\\|=*#&:~^`$]|(?<![^ \n]){_PLAIN_WORD}[ ](?={_PLAIN_WORD}[ \n])", re.I | re.A)
+#: Characters that are looked through for a cut at a time.
+_LOOK = 400
 
 
 class Tape:
@@ -164,7 +175,7 @@ def spelled(tape: Tape) -> Tape:
     for m in _DIGIT_RUN.finditer(tape.text):
         out, times, words = [], 1, 0
         for part in _DIGIT_PART.findall(m[0].lower()):
-            if part == "plus":
+            if part in ("plus", "más"):
                 out.append("+")
             elif part in _TIMES:
                 times = _TIMES[part]
@@ -178,18 +189,57 @@ def spelled(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
+def _name_before(text: str, at: int, low: int, dots: dict[int, int], plain_dots: bool) -> list[tuple[int, int]] | None:
+    """The spelled dots (by their ends in ``dots``) in the name that ends at ``at``; None if there is no name."""
+    found, k = [], at
+    while True:
+        start = k
+        while k > low and text[k - 1] in _NAME:
+            k -= 1
+        if k == start:  # nothing before this dot: it isn't the name's
+            return found[:-1] if found and found[-1][0] == k else (found if k < at else None)
+        if plain_dots and k - 1 > low and text[k - 1] == ".":
+            k -= 1
+        elif dots.get(k, -1) > low:
+            found.append((dots[k], k))
+            k = dots[k]
+        else:
+            return found
+
+
 def marks(tape: Tape) -> Tape:
-    edits = []
-    for m in _MAIL.finditer(tape.text):
-        for k in "123":
-            if m[f"a{k}"]:
-                inside = [(x.start(), x.end(), ".") for g in (f"n{k}", f"d{k}") for x in _MARKS.finditer(tape.text, *m.span(g))]
-                edits += sorted([*inside, (*m.span(f"a{k}"), "@")])
-    return tape.rewrite([e for e in edits if tape.text[e[0] : e[1]] != e[2]])
+    """Spelled at signs and dots of mail addresses become signs: around each at, the name before and the domain after."""
+    text, edits, low = tape.text, [], 0
+    dots = {m.end(): m.start() for m in _MARKS.finditer(text)}
+    for m in _AT_ANY.finditer(text):
+        if m.start() < low:
+            continue
+        domain = _AFTER[m.lastgroup].match(text, m.end())
+        name = _name_before(text, m.start(), low, dots, m.lastgroup != "bare") if domain else None
+        if name is not None:
+            inside = [*name, *(x.span() for x in _MARKS.finditer(text, *domain.span()))]
+            edits += sorted([*((a, b, ".") for a, b in inside), (m.start(), m.end(), "@")])
+            low = domain.end()
+    return tape.rewrite([e for e in edits if text[e[0] : e[1]] != e[2]])
+
+
+def _reached(text: str, a: int, b: int) -> tuple[int, int]:
+    """The range between the nearest cuts around ``a`` to ``b``, however far away they are."""
+    look, start = _LOOK, 0
+    while True:
+        low = max(0, a - look)
+        # a word that begins before ``low`` doesn't show there, so the cuts found are real ones
+        ends = [m.end() for m in _CUT.finditer(text, low, min(len(text), a + 80)) if m.end() <= a]
+        if ends or not low:
+            start = ends[-1] if ends else 0
+            break
+        look *= 4
+    cut = _CUT.search(text, b)
+    return start, cut.end() if cut else len(text)
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Where transducers have anything to do: around each trigger, as far as an identifier reaches, joined if they touch."""
+    """Where transducers have anything to do: around each trigger as far as an identifier can reach, joined if they touch."""
     low = text.lower()
     hits = [m.span() for m in _DISGUISED.finditer(text)] if any(c in text for c in "[({<") else []
     if any(w in low for w in _DOT_WORDS):
@@ -200,7 +250,9 @@ def _windows(text: str) -> list[tuple[int, int]]:
         hits += [m.span() for m in _SOME_DIGITS.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(hits):
-        a, b = max(0, a - _REACH), min(len(text), b + _REACH)
+        if out and b <= out[-1][1]:
+            continue
+        a, b = _reached(text, a, b)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -247,7 +299,8 @@ def find_pii(df: DataFrame, text_col: str = "text", carry: list[str] | None = No
     """``df`` with ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (plain ones), ``base_sha256`` and ``spans``.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by kind as listed and then start, comma-joined; the digest
-    is over the plain ones. A null or empty text has none. Repeated rows stay; an empty table gives an empty one; input
+    is over the plain ones. A null or empty text has none; a very long text, or a very long identifier, is read whole.
+    Of matches of a kind that overlap the leftmost counts. Repeated rows stay; an empty table gives an empty one; input
     columns of these names are replaced.
     """
 
@@ -270,11 +323,15 @@ def find_pii(df: DataFrame, text_col: str = "text", carry: list[str] | None = No
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with every span of ``text_col``, plain or disguised, replaced by its kind in brackets; null stays null."""
+    """``df`` with every span of ``text_col``, plain or disguised, replaced by its kind in brackets; null stays null, and
+    all other columns, whatever their names, stay as they are."""
     from pyspark.sql import functions as F
 
     def make():
         return lambda texts: [[redacted(t, all_spans(t)[1]) for t in texts]]
 
-    out = append_columns(df, text_col, [("__redacted", T.StringType())], make)
-    return out.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.col("__redacted")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    name = "__redacted"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    out = append_columns(df, text_col, [(name, T.StringType())], make)
+    return out.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.col(name)).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

@@ -100,3 +100,42 @@ def test_the_trigger_is_never_narrower_than_the_patterns():
         found += bool(want)
         assert pii.added_spans(t) == want, t
     assert found > 1000
+
+
+def test_long_identifiers_are_not_cut():
+    for n in (600, 5_000):
+        t = "write to " + "a" * n + "[at]example.com now and then"
+        assert ("email", 9, 9 + n + 15) in pii.added_spans(t)
+        t = "x" * 50 + " " + "b" * n + ".c@mail" + "[dot]mail" * 300 + " dot com"
+        assert ("email", 51, len(t)) in pii.added_spans(t)
+
+
+def test_disguises_of_four_languages():
+    assert ("email", "marie arobase exemple point fr") in found("Écrivez vite: marie arobase exemple point fr")
+    assert ("email", "jose (arroba) correo punto es") in found("a jose (arroba) correo punto es hoy")
+    assert ("email", "anna[klammeraffe]firma Punkt de") in found("an anna[klammeraffe]firma Punkt de schreiben")
+    assert any(k == "phone" for k, _ in found("Tel. plus vier neun null drei null eins zwei drei vier fünf sechs"))
+    assert any(k == "phone" for k, _ in found("tél plus trois trois un deux trois quatre cinq six sept huit neuf zéro"))
+    assert any(k == "phone" for k, _ in found("tel más tres cuatro seis cero cero uno dos tres cuatro cinco seis"))
+
+
+def test_windows_change_nothing(spark):
+    """Around triggers in the tables' own texts, and between planted disguises, windows show what the whole text shows."""
+    rnd = random.Random(12)
+    plant = ["joe at mail dot com", "plus one two three four five six seven eight nine", "x[at]y.de", "four one one one " * 4, "a.b (at) c [dot] d", "١٩٢.168.0.1", "tel +1 five 5 five 2 three 4 nine", "dot", "at", "point"]
+    for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).collect():
+        w = (d.text or "")[:6000].split(" ")
+        for _ in range(6):
+            w.insert(rnd.randrange(len(w) + 1), rnd.choice(plant))
+        t = " ".join(w)
+        assert pii.added_spans(t) == pii.added_spans(t, [(0, len(t))])
+
+
+def test_odd_texts_take_linear_time():
+    for t in ("a." * 60_000 + "[at", "a dot " * 20_000, "[at] " * 20_000, "one, " * 30_000 + "x", "@" * 100_000 + " dot ", "(" * 50_000 + "at)", "é" * 100_000 + " dot com"):
+        pii.added_spans(t)
+
+
+def test_redaction_keeps_a_column_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "keep me")], "doc_id long, text string, __redacted string")
+    assert [tuple(r) for r in pii.redact_pii(df).collect()] == [(1, "[EMAIL]", "keep me")]
