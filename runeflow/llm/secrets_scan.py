@@ -1,6 +1,6 @@
 """Secrets in whole texts: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is any run of 16 or more key characters that no fixed pattern covers, with digits or without. The
+A candidate is any run of 12 or more key characters that no fixed pattern covers, with digits or without. The
 network sees it with the characters around it, in windows that together cover all of it, and takes the highest score. It
 is trained in numpy on labelled findings that a seeded generator writes: keys of many shapes in the settings, code and
 prose they turn up in, and what merely looks like one. Scores are calibrated on held-out findings (Platt), and the
@@ -29,7 +29,8 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_KEYISH = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 12
+_KEYISH = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 _HEX_BYTES = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _HEX_RUN = b"1" * 24
 
@@ -37,42 +38,45 @@ LEFT, BODY, RIGHT = 24, 48, 8
 WIDTH = LEFT + BODY + RIGHT
 FILTERS, KERNEL = 16, 5
 RECALL = 0.98
-TRAIN_ROWS = 4_000
-#: Where keys and look-alikes part cleanly, a lower threshold than the recall allows costs nothing and finds more.
-THRESHOLD_AT_MOST = 0.9
+TRAIN_ROWS = 8_000
 
-# Character classes: each ASCII letter by case folded to itself, case, digit, and marks.
-_CLASSES = 44
+# Character classes: each ASCII letter of either case, digit, marks, others, and padding.
+_MARKS = " =:\"'_-/+.,()"
+_DIGITS, _OTHER, _PAD = 52, 53 + len(_MARKS), 54 + len(_MARKS)
+_CLASSES = _PAD + 1
 
 
 def _codes() -> np.ndarray:
-    table = np.full(128, 42, np.int64)
-    for i, c in enumerate(string.ascii_lowercase):
+    table = np.full(128, _OTHER, np.int64)
+    for i, c in enumerate(string.ascii_letters):
         table[ord(c)] = i
-    for i, c in enumerate(string.ascii_uppercase):
-        table[ord(c)] = 26 + i // 13  # two classes for capitals
     for c in string.digits:
-        table[ord(c)] = 28
-    for i, c in enumerate(" =:\"'_-/+.,()"):
-        table[ord(c)] = 29 + i
+        table[ord(c)] = _DIGITS
+    for i, c in enumerate(_MARKS):
+        table[ord(c)] = 53 + i
     return table
 
 
 _CODE = _codes()
 
 
-def windows(text: str, start: int, end: int) -> np.ndarray:
-    """Class numbers of the candidate and its surroundings; one row each ``BODY`` characters. 43 is padding."""
-    rows = []
-    for a in range(start, end, BODY):
-        b = min(a + BODY, end)
-        row = np.full(WIDTH, 43, np.int64)
-        before, body, after = text[max(0, a - LEFT) : a], text[a:b], text[b : b + RIGHT]
-        for part, at in ((before, LEFT - len(before)), (body, LEFT), (after, LEFT + BODY)):
-            codes = np.fromiter((min(ord(c), 127) for c in part), np.int64, len(part))
-            row[at : at + len(part)] = _CODE[codes]
-        rows.append(row)
-    return np.stack(rows)
+def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Class numbers of the candidates and their surroundings, one row each ``BODY`` characters, and whose row each is.
+    Places beyond the text, or beyond a candidate that ends early and its right part, are padding."""
+    codes = np.full(len(text) + LEFT + BODY + RIGHT, _PAD, np.int64)
+    codes[LEFT : LEFT + len(text)] = _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 127)]
+    first = np.array([a for a, _ in spans])
+    last = np.array([b for _, b in spans])
+    count = -(-(last - first) // BODY)
+    own = np.repeat(np.arange(len(spans)), count)
+    start = first[own] + BODY * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+    size = np.minimum(last[own] - start, BODY)
+    # after a body that ends early its right part follows at its fixed place
+    at = np.arange(WIDTH)[None, :]
+    place = np.where(at < LEFT + BODY, start[:, None] + at, start[:, None] + at - BODY + size[:, None])
+    rows = codes[place]
+    rows[(at >= LEFT + size[:, None]) & (at < LEFT + BODY)] = _PAD
+    return rows, own
 
 
 class CharCnn:
@@ -150,10 +154,10 @@ class CharCnn:
                 break
         self.scale, self.shift = float(a), float(b)
         hits = np.sort(self.probability(z)[y == 1])
-        self.threshold = min(THRESHOLD_AT_MOST, float(hits[int(math.floor((1 - recall) * len(hits)))])) if len(hits) else 0.5
+        self.threshold = float(hits[int(math.floor((1 - recall) * len(hits) + 1e-9))]) if len(hits) else 0.5
 
     def probability(self, z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * z.astype(np.float64) + self.shift, -30, 30)))
 
 
 def labelled_findings(rows: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
@@ -164,7 +168,10 @@ def labelled_findings(rows: int, seed: int = 3) -> list[tuple[str, int, int, int
     def some(alphabet: str, n: int) -> str:
         return "".join(rnd.choice(alphabet) for _ in range(n))
 
-    parts = "the on er re ing ed ation th or en an ti es ha nd st ly wh un ein der que elle mente ción con de la per pro com".split()
+    # fixed values: syllables of the four languages
+    parts = "the on er re ing ed ation th or en an ti es ha nd st ly wh un tion ness able ous ship ful sh ch ght ck".split()
+    parts += "ein der die das und sch ich keit heit ung zu pf be ver ge auf mit ach au eu tz lich zer ent nicht".split()
+    parts += "que elle eau aux eux oux ment vi ai ou est les des tre eur ier oir mente ción con de la per pro com os as ado ido gar lla rr".split()
 
     def word() -> str:
         return "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5)))
@@ -180,6 +187,8 @@ def labelled_findings(rows: int, seed: int = 3) -> list[tuple[str, int, int, int
         lambda: rnd.choice(["sk-", "pk_live_", "ghp_", "xoxb-", "glpat-", "rk_test_", "npm_", "dop_v1_"]) + some(alnum, rnd.randint(20, 48)),
         lambda: "eyJ" + some(alnum + "-_", rnd.randint(20, 60)) + ".eyJ" + some(alnum + "-_", 30) + "." + some(alnum + "-_", 30),
         lambda: some(alnum + "-_", rnd.randint(22, 43)),
+        lambda: some(alnum, rnd.randint(12, 20)),
+        lambda: some(string.ascii_lowercase + string.digits, rnd.randint(14, 32)),
     ]
     looks = [
         lambda: "-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
@@ -193,7 +202,9 @@ def labelled_findings(rows: int, seed: int = 3) -> list[tuple[str, int, int, int
         lambda: f"{word()}-{word()}-{word()}-{rnd.randint(1, 2030)}",
         lambda: "=" * rnd.randint(10, 30) + word() + str(rnd.randint(1, 9)) + "-" * rnd.randint(10, 30),
         lambda: rnd.choice("-_./").join(word() for _ in range(rnd.randint(3, 7))),
-        lambda: "".join(word() for _ in range(rnd.randint(3, 5))),
+        lambda: "".join(word() for _ in range(rnd.randint(2, 5))),
+        lambda: "".join(word() for _ in range(rnd.randint(2, 4))).upper() + rnd.choice(["", "."]),
+        lambda: "".join(word() for _ in range(rnd.randint(2, 4))) + rnd.choice([".", "..", "-", "_", "/"]),
         lambda: "".join(word().title() for _ in range(rnd.randint(3, 6))),
         lambda: rnd.choice("-=._/+") * rnd.randint(16, 80),
         lambda: some(string.digits, rnd.randint(16, 30)),
@@ -203,7 +214,7 @@ def labelled_findings(rows: int, seed: int = 3) -> list[tuple[str, int, int, int
     for i in range(rows):
         label = i % 2
         body = rnd.choice(keys if label else looks)()
-        while len(body) < 16:
+        while len(body) < LEAST:
             body += word()
         before = prose(rnd.randint(0, 6)) + rnd.choice([" ", "\n", ". "]) + rnd.choice(settings)
         text = before + body + rnd.choice([" ", '"', "'", "\n", ". ", ","]) + prose(rnd.randint(0, 3))
@@ -211,11 +222,15 @@ def labelled_findings(rows: int, seed: int = 3) -> list[tuple[str, int, int, int
     return out
 
 
+def first_windows(found: list[tuple[str, int, int, int]]) -> np.ndarray:
+    return np.stack([windows(t, [(a, b)])[0][0] for t, a, b, _ in found])
+
+
 @lru_cache(maxsize=4)
 def train(rows: int = TRAIN_ROWS, recall: float = RECALL) -> CharCnn:
     """The network, fitted on three quarters of the findings and calibrated on the rest; always the same one."""
     found = labelled_findings(rows)
-    x = np.stack([windows(t, a, b)[0] for t, a, b, _ in found])
+    x = first_windows(found)
     y = np.array([label for *_, label in found], np.float64)
     net, held = CharCnn(), np.arange(rows) % 8 >= 6
     net.fit(x[~held], y[~held])
@@ -258,16 +273,16 @@ def scan(texts: list[str], net: CharCnn) -> list[tuple[list, list]]:
     bases = [base_spans(t) for t in texts]
     rows, owner, where = [], [], []
     for i, t in enumerate(texts):
-        for a, b in candidates(t, bases[i]):
-            w = windows(t, a, b)
+        if spans := candidates(t, bases[i]):
+            w, own = windows(t, spans)
             rows.append(w)
-            owner += [len(where)] * len(w)
-            where.append((i, a, b))
+            owner.append(own + len(where))
+            where += [(i, a, b) for a, b in spans]
     every = [list(b) for b in bases]
     if where:
         p = net.probability(net.logits(np.concatenate(rows)))
         best = np.zeros(len(where))
-        np.maximum.at(best, np.array(owner), p)
+        np.maximum.at(best, np.concatenate(owner), p)
         for (i, a, b), score in zip(where, best, strict=True):
             if score >= net.threshold:
                 every[i].append(("generic", a, b))
@@ -282,8 +297,9 @@ def find_secrets(df: DataFrame, text_col: str = "text", carry: list[str] | None
     """``df`` with ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256`` and ``spans`` (base ones and ``generic``).
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start, then kind as listed, comma-joined; the digest is
-    over the base ones. A null or empty text has none. Repeated rows stay; an empty table gives an empty one; input
-    columns of these names are replaced. The network (a fixed 5,000 weights) is trained on the driver and goes with the
+    over the base ones. A null or empty text has none; a very long text is read whole, and a very long candidate in as
+    many windows as cover it. Repeated rows stay; an empty table gives an empty one; input columns of these names are
+    replaced. Scores equal to the threshold count as found. The network (a fixed number of weights) is trained on the driver and goes with the
     tasks.
     """
     net = net or train()
