@@ -2,7 +2,8 @@
 
 Every distinct pre-token becomes a row. Rows of like length share a padded matrix; in each round every row merges its
 leftmost pair of minimum rank, found by a hashed lookup of (left id, right id), and rows without a mergeable pair leave
-the matrix. Rounds merge all rows at once, so a matrix needs as many rounds as its longest row has merges.
+the matrix. Rounds merge all rows at once, so a matrix needs as many rounds as its longest row has merges. A row too long
+to share a matrix merges, in a round, its leftmost pair and those of the same rank after it that the rules would take next.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from .common import append_columns
 _NONE = np.int32(2**31 - 1)
 #: Rows of a matrix hold at most so many bytes together.
 _CELLS = 4_000_000
-#: Pre-tokens above this many bytes are merged with a heap instead, as a matrix of one long row gains nothing.
+#: Pre-tokens above this many bytes are matrices of one row, which merge equal pairs together.
 _LONG = 512
-#: A piece of one word of Latin letters and perhaps some ASCII marks: the pattern splits it right there.
+# Fixed value: the pattern for which the cuts of chunks.py and the shortcut below are proven; with any other one each text
+# is split whole.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A piece of one word of Latin letters and perhaps some ASCII marks: the known pattern splits it right there.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ʯ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
 
 
@@ -91,7 +95,7 @@ class ByteBpe:
                     token, rank = line.split()
                     ranks[base64.b64decode(token)] = int(rank)
         self.ranks = ranks
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.cuts = regex.compile(pattern), pattern == KNOWN_PATTERN
         self.vocab = {i: b for b, i in ranks.items()}
         self.text = {i: str(i) for i in self.vocab}
         self.packed = {i: i.to_bytes(4, "little") for i in self.vocab}
@@ -181,28 +185,32 @@ class ByteBpe:
         return found
 
     def _long(self, token: bytes) -> tuple[int, ...]:
-        """One long pre-token by a heap of pairs over a linked list: the same merges in n log n steps."""
-        import heapq
-
-        ids = [int(self.byte_ids[b]) for b in token]
-        n = len(ids)
-        right, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        parts = [bytes([b]) for b in token]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if not alive[i] or j >= n or parts[i] != a or parts[j] != b:
-                continue
-            parts[i], ids[i], alive[j] = a + b, r, False
-            right[i] = right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            for x in (left[i], i):
-                if x >= 0 and right[x] < n and (q := self.ranks.get(parts[x] + parts[right[x]])) is not None:
-                    heapq.heappush(heap, (q, x, parts[x], parts[right[x]]))
-        return tuple(i for i, ok in zip(ids, alive, strict=True) if ok)
+        """One row by itself. In a round it merges the pairs of its least rank from left to right, up to the first merge
+        that brings up a pair of lesser rank, which has to go first."""
+        ids = self.byte_ids[np.frombuffer(token, np.uint8)]
+        pair = np.append(self._ranks(ids[:-1], ids[1:]), _NONE)
+        while (best := pair.min()) != _NONE:
+            at = np.flatnonzero(pair == best)
+            k = np.arange(len(at))
+            begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, k, 0))
+            at = at[(k - begin) % 2 == 0]  # of pairs that overlap the left one
+            merged = np.full(len(at), best, np.int32)
+            before = np.where(np.diff(at, prepend=-9) == 2, merged, ids[at - 1])
+            before[at == 0] = -1
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], np.int32(-1))
+            early = np.flatnonzero((self._ranks(before, merged) < best) | (self._ranks(merged, after) < best))
+            if len(early):
+                at = at[: early[0] + 1]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids[at] = best
+            ids, pair = ids[stay], pair[stay]
+            new = at - np.arange(len(at))
+            new = np.concatenate([new, new - 1])
+            new = new[(new >= 0) & (new + 1 < len(ids))]
+            pair[new] = self._ranks(ids[new], ids[new + 1])
+            pair[-1] = _NONE
+        return tuple(ids.tolist())
 
     def _encode_pieces(self, keys: list[str]) -> list[bytes]:
         """Ids of each piece, four bytes each: half the room of numbers."""
@@ -217,14 +225,17 @@ class ByteBpe:
         ids = {t: b"".join(map(pack, x)) for t, x in zip(distinct, found, strict=True)}
         return [ids[s[0]] if len(s) == 1 else b"".join(map(ids.__getitem__, s)) for s in split]
 
+    def _cut(self, texts: list[str]) -> tuple[list, dict]:
+        return cut_texts(texts, self.memo) if self.cuts else ([None] * len(texts), {})
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts."""
-        lists, known = cut_texts(texts, self.memo)
+        lists, known = self._cut(texts)
         return [self._whole(t) if x is None else np.frombuffer(b"".join(map(known.__getitem__, x)), "<i4").tolist() for t, x in zip(texts, lists, strict=True)]
 
     def encode_arrays(self, texts: list[str]) -> pa.Array:
         """Ids of whole texts as one Arrow list array, without a Python object for each."""
-        lists, known = cut_texts(texts, self.memo)
+        lists, known = self._cut(texts)
         data = [np.array(self._whole(t), "<i4").tobytes() if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, lists, strict=True)]
         ends = np.cumsum([0, *(len(d) // 4 for d in data)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))

@@ -30,10 +30,30 @@ def test_ids_are_the_librarys(library):
         assert coder.decode_bytes(ids) == t.encode()
 
 
-def test_long_rows_take_the_heap(library):
+def test_long_rows(library):
     coder = bpe.load(PATH, P.PATTERN)
-    for t in ("z" * 600, "the" * 400, "qé" * 300):
-        assert coder.encode_batch([t])[0] == library.encode_ordinary(t)
+    rnd = random.Random(6)
+    some = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    rows = ["z" * 600, "the" * 400, "qé" * 300, "=" * 1_000, "a" * 40_001, some("ab", 3_000), some("eéèthan", 4_000), some("漢字a", 900), some("abcdefghijklmnopqrstuvwxyz", 20_000), "ation" * 900 + "s"]
+    rows += [some(some("abcdefghijklmnopqrstuvwxyzäöüé", 4), rnd.randrange(513, 1_200)) for _ in range(60)]
+    for t in rows:
+        assert coder.encode_batch([t])[0] == library.encode_ordinary(t), t[:40]
+
+
+def test_short_rows_merge_as_long_ones():
+    """Both ways of a row give the same ids, whatever its length."""
+    coder = bpe.load(PATH, P.PATTERN)
+    rnd = random.Random(7)
+    tokens = ["".join(rnd.choice("abcdehinorstué=") for _ in range(rnd.randrange(2, 200))).encode() for _ in range(400)]
+    assert coder._matrix(tokens) == [coder._long(t) for t in tokens]
+
+
+def test_other_patterns_split_whole_texts(library):
+    pattern = r"\p{Lu}?\p{Ll}+|\p{L}| ?\p{N}|\s+|[^\s\p{L}\p{N}]"
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=library._mergeable_ranks, special_tokens={})
+    coder = bpe.load(PATH, pattern)
+    for t in ["HelloWorld fooBar", "a  b 12 34", "it's aB,c"] + CASES:
+        assert coder.encode_batch([t])[0] == own.encode_ordinary(t), t
 
 
 def test_query_matches_library_on_whole_table(spark, library):

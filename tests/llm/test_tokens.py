@@ -29,11 +29,25 @@ def test_chunks_are_spliced_exactly():
     lib = Tokenizer.from_file(WORD)
     rnd = random.Random(2)
     texts = ["".join(rnd.choice(["the ", "qu1ck,", "\n", "é", "-- ", "<|endoftext|>"]) for _ in range(900)) for _ in range(20)]
+    texts += ["".join(rnd.choice(["the", "qu1ck,", "'s", "'", "é", "e\u0301", "--", "<|endoftext|>", "9", "<\u0338", "."]) for _ in range(900)) for _ in range(40)]
     texts += ["x1y2" * 800, "word " * 700, "a" * 3000 + " b " + "c" * 3000]
     counter = token_counts.WordCounter(WORD, huge=200, chunk=300, overlap=8)
     assert counter.count(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_texts_without_white_space_take_linear_time():
+    lib, counter = Tokenizer.from_file(WORD), token_counts.WordCounter(WORD)
+    rnd = random.Random(3)
+    read = []
+    starts = counter.starts
+    counter.starts = lambda t: read.append(len(t)) or starts(t)
+    for letters in ("ab,", "abcdefghijklmnopqrstuvwxyz0123456789.,;!", "abcé"):
+        t = "".join(rnd.choice(letters) for _ in range(200_000))
+        read.clear()
+        assert counter.count([t]) == [len(lib.encode(t, add_special_tokens=False).ids)]
+        assert sum(read) <= 3 * len(t)
+
+
 def test_op3_on_whole_table(spark):
     lib = Tokenizer.from_file(WORD)
     rows = {r.doc_id: r for r in queries.op3_token_counts(spark, "/root/testdata/sf0.001").collect()}
