@@ -2,10 +2,10 @@
 
 Unit vectors whose cosine reaches the threshold lie within ``eps`` of each other, and so do their images on any leading
 principal dimensions. Equal vectors become one class first. Classes are sorted by grid cells of side ``eps`` on the leading
-dimensions (the epsilon grid order) and cut into intervals; two intervals are joined only if some of their cells touch and
-their bounds, on more dimensions, come within ``eps``. Inside a pair of intervals the same test is applied to halves, and
-halves of halves, until a part is small; what is left is compared by matrix products in single precision with a margin,
-and each hit again in double precision.
+dimensions (the epsilon grid order) and cut into intervals, and these into tiles of consecutive ones. Two tiles meet, in a
+task, only if some of their cells touch and their bounds, on more dimensions, come within ``eps``; so do two intervals of
+them. Inside a pair of intervals the same test is applied to halves, and halves of halves, until a part is small; what is
+left is compared by matrix products in single precision with a margin, and each hit again in double precision.
 """
 
 from __future__ import annotations
@@ -26,16 +26,20 @@ COSINE = 0.95
 #: Dimensions of the sort order, of the keys that bring intervals together, and of the bounds.
 ORDER_DIMS, KEY_DIMS, BOUND_DIMS = 8, 3, 16
 INTERVAL = 1_024
-#: Parts of so few vectors are compared without another split, and intervals that one task meets.
+#: Parts of so few vectors are compared without another split.
 PART = 256
-TOGETHER = 8
+#: Intervals of a tile, and tiles that there should be: a task joins two tiles, so what is sent for a pair of vectors falls
+#: with the tile's size.
+MOST_TILE, LEAST_TILES = 32, 6
 _SLACK = 1e-6
 
-
 def classes_of(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
     """(vec_id, key) of every row, and the written classes (key, rep, copies, dims, raw); key is null for unusable vectors."""
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
 
+    # single-precision input is kept as such, which loses nothing
+    width = np.float32 if df.schema[vec_col].dataType.simpleString() == "array<float>" else np.float64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, raws, dims = [], [], []
@@ -48,7 +52,7 @@ def classes_of(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, Dat
                     dims.append(None)
                 else:
                     keys.append(xxhash.xxh3_128_digest(a.tobytes()))
-                    raws.append(a.tobytes())
+                    raws.append(a.astype(width).tobytes())
                     dims.append(len(a))
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "key": pa.array(keys, pa.binary()), "raw": pa.array(raws, pa.binary()), "dims": pa.array(dims, pa.int32())})
 
@@ -57,8 +61,10 @@ def classes_of(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, Dat
     return rows.select("vec_id", "key"), written(classes, "classes")
 
 
-def _units(raws: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), np.float64).reshape(len(raws), -1)
+def _units(raws: list[bytes], n: int, dims: int) -> np.ndarray:
+    """The ``n`` vectors of ``raws`` as unit vectors in double precision; packed ones are of either width."""
+    blob = b"".join(raws)
+    x = np.frombuffer(blob, np.float32 if len(blob) == 4 * n * dims else np.float64).reshape(n, dims).astype(np.float64)
     top = np.abs(x).max(1, keepdims=True)
     x = x / top  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -71,7 +77,7 @@ def principal(classes: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
         n, s, ss = 0, np.zeros(dims), np.zeros((dims, dims))
         for batch in batches:
             if batch.num_rows:
-                u = _units(batch.column(0).to_pylist())
+                u = _units(batch.column(0).to_pylist(), batch.num_rows, dims)
                 n, s, ss = n + len(u), s + u.sum(0), ss + u.T @ u
         if n:
             k = (TaskContext.get().partitionId() if TaskContext.get() else 0) % 32
@@ -142,83 +148,88 @@ def _joined(classes: DataFrame, dims: int, cosine: float) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                c = np.floor((_units(batch.column(2).to_pylist()) - mean) @ axes[:, :order] / eps).astype(np.int32)
+                c = np.floor((_units(batch.column(2).to_pylist(), batch.num_rows, dims) - mean) @ axes[:, :order] / eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(c[:, k])) for k in range(order)]], names=[*batch.schema.names, *cells])
 
     placed = written(classes.select("rep", "copies", "raw").mapInArrow(place, "rep long, copies long, raw binary, " + ", ".join(f"{c} int" for c in cells)), "placed")
     n = placed.count()
-    runs = placed.repartitionByRange(max(1, -(-n // (INTERVAL * 4))), *cells, "rep").sortWithinPartitions(*cells, "rep")
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, held = TaskContext.get().partitionId() << 32, 0, []
-
-        def emit(table: pa.Table) -> pa.RecordBatch:
-            raws = table.column("raw").to_pylist()
-            p = (_units(raws) - mean) @ axes
-            c = np.unique(np.stack([table.column(c).to_numpy() for c in cells[:keys]], 1), axis=0)
-            one = lambda v, t: pa.array([v], t)
-            return pa.RecordBatch.from_pydict({"interval": one(base + k, pa.int64()), "cls": one(table.column("rep").to_pylist(), pa.list_(pa.int64())), "copies": one(table.column("copies").to_pylist(), pa.list_(pa.int64())), "raw": one(b"".join(raws), pa.binary()), "low": one(p.min(0).tolist(), pa.list_(pa.float64())), "high": one(p.max(0).tolist(), pa.list_(pa.float64())), "cells": one(c.tolist(), pa.list_(pa.list_(pa.int32())))})
+    runs = placed.repartitionByRange(max(1, -(-n // (INTERVAL * MOST_TILE))), *cells, "rep").sortWithinPartitions(*cells, "rep")
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            held = [pa.Table.from_batches([batch]) if not held else pa.concat_tables([held[0], pa.Table.from_batches([batch])])]
-            while held and held[0].num_rows >= INTERVAL:
-                yield emit(held[0].slice(0, INTERVAL))
-                k += 1
-                held = [held[0].slice(INTERVAL)]
-        if held and held[0].num_rows:
-            yield emit(held[0])
-
-    intervals = written(runs.mapInArrow(cut_up, "interval long, cls array<long>, copies array<long>, raw binary, low array<double>, high array<double>, cells array<array<int>>"), "intervals")
-    seats = intervals.select("interval", "low", "high", F.explode("cells").alias("cell"))
+            where = [pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(k, k + batch.num_rows))]
+            k += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*where, *batch.columns], names=["part", "k", *batch.schema.names])
+
+    # places in the epsilon grid order, whatever the partitions: a count of each comes to the driver
+    runs = runs.select("rep", "copies", "raw", *cells[:keys]).mapInArrow(number, "part int, k long, rep long, copies long, raw binary, " + ", ".join(f"{c} int" for c in cells[:keys]))
+    runs = written(runs, "order")
+    sizes = {r["part"]: r["n"] for r in runs.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    offsets = np.cumsum([0, *(sizes[p] for p in sorted(sizes))]).tolist()
+    starts = df_of(runs, [(p, o) for p, o in zip(sorted(sizes), offsets, strict=False)], "part int, base long")
+    runs = runs.join(F.broadcast(starts), "part").withColumn("interval", F.floor((F.col("base") + F.col("k")) / INTERVAL))
+    size = max(1, min(MOST_TILE, n // (INTERVAL * LEAST_TILES)))
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("base", "ascending"), ("k", "ascending")])
+        raws = group.column("raw").to_pylist()
+        p = (_units(raws, len(raws), dims) - mean) @ axes
+        c = np.unique(np.stack([group.column(c).to_numpy() for c in cells[:keys]], 1), axis=0)
+        one = lambda v, t: pa.array([v], t)
+        return pa.table({"interval": group.column("interval").slice(0, 1), "cls": one(group.column("rep").to_pylist(), pa.list_(pa.int64())), "copies": one(group.column("copies").to_pylist(), pa.list_(pa.int64())), "raw": one(b"".join(raws), pa.binary()), "low": one(p.min(0).tolist(), pa.list_(pa.float64())), "high": one(p.max(0).tolist(), pa.list_(pa.float64())), "cells": one(c.tolist(), pa.list_(pa.list_(pa.int32())))})
+
+    intervals = runs.groupBy("interval").applyInArrow(pack, "interval long, cls array<long>, copies array<long>, raw binary, low array<double>, high array<double>, cells array<array<int>>")
+    intervals = written(intervals.withColumn("tile", F.floor(F.col("interval") / size)), "intervals")
+    # two tiles meet if some of their cells touch and their bounds come within eps; a row a pair of tiles, none a pair of vectors
+    ends = [f(F.element_at(c, k + 1)).alias(f"{c}{k}") for c, f in (("low", F.min), ("high", F.max)) for k in range(bound)]
+    bounds = intervals.groupBy("tile").agg(*ends).select("tile", *[F.array(*[f"{c}{k}" for k in range(bound)]).alias(c) for c in ("low", "high")])
+    seats = written(intervals.select("tile", F.explode("cells").alias("cell")).distinct().join(bounds, "tile"), "seats")
     steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    near = seats.select(F.col("interval").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), "cell")
+    near = seats.select(F.col("tile").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), "cell")
     for k in range(keys):
         near = near.withColumn(f"s{k}", F.explode(steps))
     key = lambda shift: F.concat_ws("|", *[F.element_at("cell", k + 1) + (F.col(f"s{k}") if shift else F.lit(0)) for k in range(keys)])
-    touching = seats.withColumn("key", key(False)).join(near.withColumn("key", key(True)).drop("cell", *[f"s{k}" for k in range(keys)]), "key").where("interval <= other")
+    touching = seats.withColumn("key", key(False)).join(near.withColumn("key", key(True)).drop("cell", *[f"s{k}" for k in range(keys)]), "key").where("tile <= other")
     gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    pairs = touching.where(gap <= eps * eps).select("interval", "other").distinct()
-    # each interval meets a few others in a task; a row a vector block, no row a pair of vectors
-    pairs = written(pairs.withColumn("chunk", F.pmod(F.xxhash64("other"), F.lit(1 << 20))), "pairs")
-    counts = pairs.groupBy("interval").agg(F.count("*").alias("k"))
-    pairs = pairs.join(counts, "interval").withColumn("chunk", F.pmod("chunk", F.ceil(F.col("k") / TOGETHER)).cast("int")).drop("k")
-    blob = intervals.select("interval", "cls", "copies", "raw")
-    right = pairs.join(blob.withColumnRenamed("interval", "other"), "other").select("interval", "chunk", "other", "cls", "copies", "raw", F.lit(False).alias("own"))
-    left = pairs.select("interval", "chunk").distinct().join(blob, "interval").select("interval", "chunk", F.col("interval").alias("other"), "cls", "copies", "raw", F.lit(True).alias("own"))
+    pairs = written(touching.where(gap <= eps * eps).select("tile", "other").distinct(), "pairs")
+    blob = intervals.select("tile", "interval", "cls", "copies", "raw", "low", "high")
+    left = pairs.join(blob, "tile").select("tile", "other", F.lit(True).alias("own"), *blob.columns[1:])
+    right = pairs.where("tile <> other").join(blob.withColumnRenamed("tile", "other"), "other").select("tile", "other", F.lit(False).alias("own"), *blob.columns[1:])
 
     def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by("interval")
         cls = [np.asarray(x.values) for x in group.column("cls")]
         copies = [np.asarray(x.values) for x in group.column("copies")]
-        units = [_units([r]).reshape(len(c), -1) if len(c) == 1 else _rows(r, len(c)) for r, c in zip(group.column("raw").to_pylist(), cls, strict=True)]
-        own, other = group.column("own").to_pylist(), group.column("other").to_pylist()
-        mine = own.index(True)
-        p = (units[mine] - mean) @ axes
-        count = {}
+        units = [_units([r], len(c), dims) for r, c in zip(group.column("raw").to_pylist(), cls, strict=True)]
+        images = [(u - mean) @ axes for u in units]
+        low, high = ([np.asarray(x.values) for x in group.column(c)] for c in ("low", "high"))
+        own = group.column("own").to_pylist()
+        mine = [k for k, x in enumerate(own) if x]
+        theirs = [k for k, x in enumerate(own) if not x] or mine
+        totals = [np.zeros(len(c), np.int64) for c in cls]
         edges_a, edges_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(len(cls)):
-            if own[k]:
-                continue
-            same = other[k] == other[mine]
-            total, total2 = np.zeros(len(cls[mine]), np.int64), np.zeros(len(cls[k]), np.int64)
-            for i, j in join_parts(units[mine], p, units[k], (units[k] - mean) @ axes, cosine, eps, same):
-                np.add.at(total, i, copies[k][j])
-                np.add.at(total2, j, copies[mine][i])
-                least, node = _forest(cls[mine][i], cls[k][j])
-                edges_a.append(least)
-                edges_b.append(node)
-            for who, t in ((mine, total), (k, total2)):
-                for x in np.flatnonzero(t):
-                    c = int(cls[who][x])
-                    count[c] = count.get(c, 0) + int(t[x])
+        for a in mine:
+            for b in theirs:
+                if (theirs is mine and b < a) or apart(low[a], high[a], low[b], high[b], eps):
+                    continue
+                for i, j in join_parts(units[a], images[a], units[b], images[b], cosine, eps, a == b):
+                    np.add.at(totals[a], i, copies[b][j])
+                    np.add.at(totals[b], j, copies[a][i])
+                    least, node = _forest(cls[a][i], cls[b][j])
+                    edges_a.append(least)
+                    edges_b.append(node)
         least, node = _forest(np.concatenate(edges_a), np.concatenate(edges_b))
-        return pa.table({"cls": pa.array(node), "n": pa.array([count.get(int(c), 0) for c in node], pa.int64()), "least": pa.array(least)})
+        every = np.concatenate(cls)
+        order = np.argsort(every)
+        n = np.concatenate(totals)[order][np.searchsorted(every[order], node)]
+        return pa.table({"cls": pa.array(node), "n": pa.array(n), "least": pa.array(least)})
 
-    return written(left.union(right).groupBy("interval", "chunk").applyInArrow(meet, "cls long, n long, least long"), "met")
+    return written(left.union(right).groupBy("tile", "other").applyInArrow(meet, "cls long, n long, least long"), "met")
 
 
-def _rows(raw: bytes, n: int) -> np.ndarray:
-    size = len(raw) // n
-    return _units([raw[i * size : (i + 1) * size] for i in range(n)])
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
 
 
 def vector_groups(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -226,7 +237,7 @@ def vector_groups(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
 
     Vectors that are null, empty, zero, or hold a null or a component that is not finite link with nothing; vectors of
     different lengths don't link. Equal vectors are linked. Repeated rows are vectors of their own, so each counts as a
-    link of the other. A row without id has its links counted, a null component and isn't kept. An empty table gives an
+    link of the other. A cosine equal to the threshold links; vectors of any length are read whole. A row without id has its links counted, a null component and isn't kept. An empty table gives an
     empty one; other columns, whatever their names, are left out.
     """
     rows, classes = classes_of(df, id_col, vec_col)

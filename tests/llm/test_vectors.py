@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from runeflow.llm import queries, vectors
 
@@ -30,7 +31,10 @@ def run(spark, rows, kind="float"):
     return sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.vector_groups(df).collect())
 
 
-def test_random_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("tiles", [(32, 6), (3, 50), (1, 1)])
+def test_random_vectors(spark, monkeypatch, tiles):
+    monkeypatch.setattr(vectors, "MOST_TILE", tiles[0])
+    monkeypatch.setattr(vectors, "LEAST_TILES", tiles[1])
     monkeypatch.setattr(vectors, "INTERVAL", 16)
     rnd = np.random.default_rng(1)
     base = rnd.normal(size=(40, 6))
