@@ -35,6 +35,8 @@ WHOLE, PART, ANSWER, SHARE = 0.8, 0.55, 0.5, 0.4
 #: Items searched for in one pass over the documents, and words handled at a time.
 ITEMS = 2_000
 AT_A_TIME = 400_000
+#: Cells of a table of parts and words.
+CELLS = 8_000_000
 
 _V = 1 << WORD_BITS
 
@@ -194,16 +196,26 @@ class Searcher:
         self.own = [np.array([place[w] for w in it.weights], np.int64) for it in items]
         self.weights = [np.array(list(it.weights.values())) for it in items]
         self.dense = np.zeros(len(self.vocab) + 1)
-
-    def shares(self, places: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        """For each row and item the weighted share of the item's words that the row has."""
-        hit = places < len(self.vocab)
-        seen = np.unique(rows[hit] * len(self.vocab) + places[hit])
-        row, word = seen // len(self.vocab), seen % len(self.vocab)
-        count = self.of_word[word + 1] - self.of_word[word]
-        k = np.repeat(self.of_word[word] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        key = np.repeat(row, count) * len(self.items) + self.pair_item[k]
-        return np.bincount(key, self.pair_share[k], n * len(self.items)).reshape(n, len(self.items))
+        # what lies about a window of any item fits a stretch of words, and so a pair of neighbouring ones wherever it begins
+        about = max((WINDOWS[it.kind][0] * STEP + len(it.words) for it in items), default=1)
+        self.stretch = -(-about // (STEP * 6)) * STEP * 6
+
+    def shares(self, places: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
+        """For each part of a text and item the weighted share of the item's words that the part has."""
+        out = np.zeros((n, len(self.items)))
+        order = np.argsort(part, kind="stable")
+        places, part = places[order], part[order]
+        step = max(1, CELLS // len(self.vocab))
+        for a in range(0, n, step):  # so many parts that a table of which words they have stays small
+            low, high = np.searchsorted(part, (a, a + step))
+            has = np.zeros((min(step, n - a), len(self.vocab)), bool)
+            has[part[low:high] - a, places[low:high]] = True
+            own, word = np.divmod(np.flatnonzero(has.ravel()), len(self.vocab))
+            count = self.of_word[word + 1] - self.of_word[word]
+            k = np.repeat(self.of_word[word] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            key = np.repeat(own, count) * len(self.items) + self.pair_item[k]
+            out[a : a + step] = np.bincount(key, self.pair_share[k], len(has) * len(self.items)).reshape(len(has), -1)
+        return out
 
     def search(self, numbers: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, float, float, float, int, int]]:
         """(row, item, cosine, subsequence share, answer share, first word, words) of the rows' matches."""
@@ -212,46 +224,59 @@ class Searcher:
         numbers = numbers.astype(np.int64)
         places = np.minimum(np.searchsorted(self.vocab, numbers), len(self.vocab) - 1)
         places[self.vocab[places] != numbers] = len(self.vocab)
-        likely = self.shares(places, np.repeat(np.arange(len(lengths)), lengths), len(lengths)) >= SHARE - 1e-9
-        some = np.flatnonzero(likely.any(axis=1))  # no other row can have a match
-        if not len(some):
+        # pairs of neighbouring stretches: the k-th of a row holds the stretches k and k + 1
+        stretches = -(-lengths // self.stretch)
+        first = np.cumsum(stretches) - stretches
+        hit = np.flatnonzero(places < len(self.vocab))
+        rows = np.repeat(np.arange(len(lengths)), lengths)[hit]
+        block = _within(lengths)[hit] // self.stretch
+        late = block > 0
+        part = np.concatenate([first[rows] + block, (first[rows] + block)[late] - 1])
+        likely = self.shares(np.concatenate([places[hit], places[hit][late]]), part, int(stretches.sum())) >= SHARE - 1e-9
+        part, item = np.nonzero(likely)  # nothing else can hold an item
+        if not len(part):
             return []
-        of_some = np.repeat(likely.any(axis=1), lengths)
-        numbers, places, lengths = numbers[of_some], places[of_some], lengths[some]
-        steps = _step_sums(self.padded, numbers & (_V - 1), _within(lengths), lengths, STEP)
-        sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(steps, axis=0, dtype=np.float64)])
-        offsets, bases = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(-(-lengths // STEP))])
+        row = np.searchsorted(first + stretches, part, side="right")
+        order = np.lexsort((part, item, row))
+        part, item, row = part[order], item[order], row[order]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
         found = []
-        for k, row in enumerate(some.tolist()):
-            items, size, base = np.flatnonzero(likely[row]), int(bases[k + 1] - bases[k]), int(bases[k])
+        cuts = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+            k, i = int(row[a]), int(item[a])
             words, where = numbers[offsets[k] : offsets[k + 1]], places[offsets[k] : offsets[k + 1]]
-            for kind in np.unique(self.kinds[items]).tolist():
-                length, apart = WINDOWS[kind]
-                start = np.arange(0, max(1, size + apart - length), apart)
-                w = (sums[base + np.minimum(start + length, size)] - sums[base + start]).astype(np.float32)
-                mine = items[self.kinds[items] == kind]
-                near = (w @ self.vectors[mine].T) / np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None]
-                for c, item in enumerate(mine.tolist()):
-                    best, close = None, np.flatnonzero(near[:, c] >= self.cosine)
-                    regions = self._regions(item, where, start * STEP, length * STEP)
-                    if len(close):
-                        best = self._check(item, words, regions, close, near[:, c])
-                    if best is None:
-                        best = self._check(item, words, regions, np.arange(len(start)), near[:, c])
-                    if best:
-                        found.append((row, item, *best))
+            low, high, weight, near = (np.concatenate(x) for x in zip(*self._windows(i, words, where, part[a:b] - first[k]), strict=True))
+            close, best = np.flatnonzero(near >= self.cosine), None
+            if len(close):
+                best = self._check(i, words, (low, high, weight), close, near)
+            if best is None:
+                best = self._check(i, words, (low, high, weight), np.arange(len(low)), near)
+            if best:
+                found.append((k, i, *best))
         return found
 
-    def _regions(self, item: int, where: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, end, weight) of what lies about each window; with repetitions counted the weight is no less."""
-        n = len(self.items[item].words)
-        self.dense[self.own[item]] = self.weights[item]
-        weights = self.dense[where]
-        self.dense[self.own[item]] = 0
-        at = np.flatnonzero(weights)
-        sums = np.concatenate([[0.0], np.cumsum(weights[at])])
-        low, high = np.maximum(0, starts - n // 2), np.minimum(len(where), starts + length + n // 2)
-        return low, high, sums[np.searchsorted(at, high)] - sums[np.searchsorted(at, low)]
+    def _windows(self, item: int, words: np.ndarray, where: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first word, end, weight, cosine) of what lies about each window in runs of the row's ``pairs`` of stretches.
+
+        With repetitions counted what lies about a window weighs no less than without.
+        """
+        it, (length, apart) = self.items[item], WINDOWS[self.items[item].kind]
+        half, size = len(it.words) // 2, -(-len(words) // STEP)
+        for run in np.split(pairs, np.flatnonzero(np.diff(pairs) > 1) + 1):
+            a, b = int(run[0]) * self.stretch, min(len(words), (int(run[-1]) + 2) * self.stretch)
+            start = np.arange(a // STEP // apart * apart, min(max(1, size + apart - length), b // STEP + 1), apart)
+            steps = _step_sums(self.padded, words[a:b] & (_V - 1), np.arange(b - a), np.array([b - a]), STEP)
+            sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(steps, axis=0, dtype=np.float64)])
+            base = a // STEP
+            w = (sums[np.minimum(np.minimum(start + length, size) - base, len(steps))] - sums[start - base]).astype(np.float32)
+            near = (w @ it.vector.astype(np.float32)) / np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)
+            self.dense[self.own[item]] = self.weights[item]
+            weights = self.dense[where[a:b]]
+            self.dense[self.own[item]] = 0
+            at = np.flatnonzero(weights)
+            total = np.concatenate([[0.0], np.cumsum(weights[at])])
+            low, high = np.maximum(0, start * STEP - half), np.minimum(len(words), (start + length) * STEP + half)
+            yield low, high, total[np.searchsorted(at, high - a)] - total[np.searchsorted(at, np.maximum(0, low - a))], near
 
     def _check(self, item: int, words: np.ndarray, regions: tuple[np.ndarray, np.ndarray, np.ndarray], some: np.ndarray, cosines: np.ndarray) -> tuple | None:
         low, high, weight = regions
