@@ -115,7 +115,8 @@ def all_in(text: Column, cls: str) -> Column:
 
 
 def count_in(text: Column, cls: str) -> Column:
-    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{cls}]", ""))
+    """Characters of a class, written as in a regular expression."""
+    return F.regexp_count(text, F.lit(f"[{cls}]"))
 
 
 def read_until(text: Column, delimiter: str) -> Column:
@@ -138,3 +139,45 @@ def find_first_of(text: Column, cls: str) -> Column:
 
 def identifier(text: Column) -> Column:
     return F.regexp_extract(text, "^[A-Za-z_][A-Za-z0-9_]*", 0)
+
+
+def boolean(text: Column) -> Column:
+    """1, true, yes and on, in any case, are true; 0, false, no and off false; all else is null."""
+    word = F.lower(F.trim(text))
+    return F.when(word.isin("1", "true", "yes", "on"), True).when(word.isin("0", "false", "no", "off"), False)
+
+
+def arithmetic_shift32(x: Column, n: int) -> Column:
+    """The signed 32-bit value moved right, its sign kept."""
+    x = x.cast("bigint").bitwiseAND(F.lit(MASK32))
+    return F.shiftright(F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x), n)
+
+
+def rotate_left64(x: Column, n: int) -> Column:
+    x = x.cast("bigint")
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n % 64 else x
+
+
+def rotate_right64(x: Column, n: int) -> Column:
+    return rotate_left64(x, (64 - n) % 64)
+
+
+def bits_from_bytes(data: Column, start: int, width: int) -> Column:
+    """``width`` bits of a byte string from bit ``start`` on, the least of each byte first; at most 56 bits."""
+    first, last = start // 8, (start + width - 1) // 8
+    word = F.lit(0).cast("bigint")
+    for k in range(first, last + 1):
+        byte = F.conv(F.hex(F.substring(data, k + 1, 1)), 16, 10).cast("bigint")
+        word = word.bitwiseOR(F.shiftleft(F.coalesce(byte, F.lit(0).cast("bigint")), 8 * (k - first)))
+    return F.shiftright(word, start % 8).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def read_enclosed(text: Column, opening: str, closing: str) -> Column:
+    """What stands between a leading opening mark and the first closing one; null without both."""
+    rest = F.substring(text, len(opening) + 1, 1 << 30)
+    return F.when(text.startswith(opening) & (F.instr(rest, closing) > 0), F.substring_index(rest, closing, 1))
+
+
+def read_until_unquoted(text: Column, delimiter: str) -> Column:
+    """What stands before the first delimiter outside double quotes; a backslash keeps the next character."""
+    return F.regexp_extract(text, f'^(?:"(?:[^"\\\\]|\\\\.)*"|[^"{delimiter}])*', 0)

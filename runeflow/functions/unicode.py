@@ -130,5 +130,16 @@ def cluster_lengths(spark: SparkSession, text: Column) -> Column:
     return F.transform(F.regexp_extract_all(cluster_letters(spark, text), F.lit(CLUSTER), F.lit(0)), F.char_length)
 
 
+#: Where a letter may join another one: all but those of plain characters, controls and lone pictographs and consonants.
+_JOINS = "[^ONKXQR]|RN"
+
+
 def cluster_count(spark: SparkSession, text: Column) -> Column:
-    return F.size(F.regexp_extract_all(cluster_letters(spark, text), F.lit(CLUSTER), F.lit(0)))
+    """Extended grapheme clusters; where no character can join another they are the scalars."""
+    letters = cluster_letters(spark, text)
+    return F.when(~letters.rlike(_JOINS), F.char_length(letters)).otherwise(F.size(F.regexp_extract_all(letters, F.lit(CLUSTER), F.lit(0))))
+
+
+def first_cluster(spark: SparkSession, text: Column) -> Column:
+    """The text's first cluster, however long."""
+    return F.substring(text, F.lit(1), F.char_length(F.regexp_extract(cluster_letters(spark, text), CLUSTER, 0)))

@@ -1,7 +1,7 @@
 """Embedding levels of paragraphs by the Unicode bidirectional algorithm, and the visual order of runs.
 
 The rules keep a stack and look both ways over isolating run sequences, which no built-in expression can say, so they run
-in Arrow batches, a text a row. Rules P1 to P3, X1 to X10, W1 to W7, N0 to N2, I1 and I2 are applied; levels of trailing
+in Arrow batches, a paragraph a row. Rules P1 to P3, X1 to X10, W1 to W7, N0 to N2, I1 and I2 are applied; levels of trailing
 white space are not reset, and no mirroring is done. A text whose characters are all of left-to-right, neutral or
 European classes in a left-to-right paragraph has level 0 throughout and is answered without the rules.
 """
@@ -12,37 +12,27 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runeflow.functions import unicode as u
+from runeflow.operators import text
+
 DEEPEST = 125
 PAIRS = 63
 _REMOVED = frozenset(("RLE", "LRE", "RLO", "LRO", "PDF", "BN"))
 _ISOLATES = frozenset(("LRI", "RLI", "FSI"))
 _NEUTRAL = frozenset(("B", "S", "WS", "ON", "LRI", "RLI", "FSI", "PDI"))
 _SIMPLE = frozenset(("L", "EN", "ES", "ET", "CS", "NSM", "BN", "WS", "S", "ON"))
-#: Two pairs of brackets are equal to others by canonical equivalence.
+# Opening and closing brackets, in order, and the two pairs that are equal to others by canonical equivalence.
+_OPEN = "([{༺༼᚛⁅⁽₍⌈⌊\u2329❨❪❬❮❰❲❴⟅⟦⟨⟪⟬⟮⦃⦅⦇⦉⦋⦍⦏⦑⦓⦕⦗⧘⧚⧼⸢⸤⸦⸨⹕⹗⹙⹛〈《「『【〔〖〘〚﹙﹛﹝（［｛｟｢"
+_CLOSE = ")]}༻༽᚜⁆⁾₎⌉⌋\u232A❩❫❭❯❱❳❵⟆⟧⟩⟫⟭⟯⦄⦆⦈⦊⦌⦐⦎⦒⦔⦖⦘⧙⧛⧽⸣⸥⸧⸩⹖⹘⹚⹜〉》」』】〕〗〙〛﹚﹜﹞）］｝｠｣"
 _SAME = {0x2329: 0x3008, 0x232A: 0x3009}
-
-
-def _bracket(ch: str) -> tuple[str, int] | None:
-    """Open or close, and the code point that stands for the pair."""
-    kind = unicodedata.category(ch)
-    if kind not in ("Ps", "Pe") or not unicodedata.mirrored(ch) or unicodedata.bidirectional(ch) != "ON":
-        return None
-    c = _SAME.get(ord(ch), ord(ch))
-    if kind == "Pe":
-        return "c", c
-    return "o", c
-
-
-def _partner(c: int) -> int:
-    """The closing bracket of an opening one: next to it, or two further for the ASCII ones."""
-    for d in (1, 2):
-        if unicodedata.category(chr(c + d)) == "Pe" and unicodedata.mirrored(chr(c + d)):
-            return c + d
-    return -1
+_PARTNER = {ord(a): _SAME.get(ord(b), ord(b)) for a, b in zip(_OPEN, _CLOSE, strict=True)}
+_CLOSING = {ord(b): _SAME.get(ord(b), ord(b)) for b in _CLOSE}
+# The classes by the library's numbers.
+CLASSES = "L R EN ES ET AN CS B S WS ON LRE LRO AL RLE RLO PDF NSM BN FSI LRI RLI PDI".split()
 
 
 def paragraph_level(types: list[str], start: int = 0, stop: int | None = None, default: int = 0) -> int:
@@ -192,20 +182,21 @@ def _weak(seq: list[int], t: list[str], sos: str) -> None:
             t[i] = "L"
 
 
-def bracket_pairs(seq: list[int], t: list[str], text: str) -> list[tuple[int, int]]:
+def bracket_pairs(seq: list[int], t: list[str], chars: str) -> list[tuple[int, int]]:
     """BD16 over a sequence: places in it of each pair, by the opening one."""
     stack: list[tuple[int, int]] = []
     out = []
     for k, i in enumerate(seq):
-        if t[i] != "ON" or (b := _bracket(text[i])) is None:
+        c = ord(chars[i])
+        if t[i] != "ON":
             continue
-        if b[0] == "o":
+        if c in _PARTNER:
             if len(stack) == PAIRS:
                 return []
-            stack.append((_partner(b[1]), k))
-        else:
+            stack.append((_PARTNER[c], k))
+        elif c in _CLOSING:
             for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == b[1]:
+                if stack[n][0] == _CLOSING[c]:
                     out.append((stack[n][1], k))
                     del stack[n:]
                     break
@@ -244,9 +235,9 @@ def _neutral(seq: list[int], t: list[str], original: list[str], text: str, level
             k += 1
 
 
-def levels_of(text: str, direction: str = "auto") -> tuple[int, list[int]]:
-    """Paragraph level and the level of each scalar of one paragraph."""
-    types = [unicodedata.bidirectional(c) or "L" for c in text]
+def levels_of(text: str, direction: str = "auto", types: list[str] | None = None) -> tuple[int, list[int]]:
+    """Paragraph level and the level of each scalar of one paragraph, by the classes given, else those that Python knows."""
+    types = [unicodedata.bidirectional(c) or "L" for c in text] if types is None else types
     if direction != "rtl" and _SIMPLE.issuperset(types):
         return 0, [0] * len(text)
     base = {"ltr": 0, "rtl": 1}.get(direction)
@@ -301,7 +292,8 @@ _RAISING = r"[\u0590-\u08FF\u200F\u202A-\u202E\u2066-\u2069\uFB1D-\uFDFF\uFE70-\
 def with_levels(df: DataFrame, text_col: str, direction: str = "auto") -> DataFrame:
     """Adds ``base``, ``levels`` (array) and ``order`` (runs in visual order) for one paragraph a row; null has none.
 
-    Texts without any character that can raise a level never leave the JVM, unless the paragraph runs right to left.
+    Texts without any character that can raise a level never leave the JVM, unless the paragraph runs right to left; the
+    others take their classes from the same library as all other properties.
     """
     kept = [c for c in df.columns if c.lower() not in ("base", "levels", "order")]
     source = df.select(*kept, F.col(text_col).alias("__text"))
@@ -309,13 +301,49 @@ def with_levels(df: DataFrame, text_col: str, direction: str = "auto") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [levels_of(t, direction) if t is not None else (None, None) for t in batch.column(len(kept)).to_pylist()]
+            texts, classes = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
+            found = [levels_of(t, direction, [CLASSES[k] for k in c]) if t is not None else (None, None) for t, c in zip(texts, classes, strict=True)]
             order = [visual_order([x for *_, x in runs_of(levels)]) if levels is not None else None for _, levels in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int32())), pa.array(order, pa.list_(pa.int32()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int32())), pa.array(order, pa.list_(pa.int32()))], names=schema.names)
 
+    letters = F.filter(F.split("__text", ""), lambda c: c != "")
+    classed = lambda rows: rows.withColumn("__classes", F.transform(letters, lambda c: u.number("bidi_class", F.ascii(c))))
     if direction == "rtl":
-        return source.mapInArrow(run, schema)
+        return classed(source).mapInArrow(run, schema)
     plain = ~F.coalesce(F.col("__text").rlike(_RAISING), F.lit(True))
     n = F.char_length("__text")
     level = source.where(plain).select(*kept, F.lit(0).alias("base"), F.array_repeat(F.lit(0), n).alias("levels"), F.array_repeat(F.lit(0), F.least(n, F.lit(1))).alias("order"))
-    return level.union(source.where(~plain).mapInArrow(run, schema))
+    return level.union(classed(source.where(~plain)).mapInArrow(run, schema))
+
+
+def paragraph_levels(df: DataFrame, id_col: str, text_col: str, direction: str = "auto") -> DataFrame:
+    """(id, paragraph, base, levels, order): P1, a row a paragraph, its separator with it; texts without any have no row."""
+    rows = df.select(id_col, F.posexplode(text.paragraphs(F.col(text_col))).alias("paragraph", "__line"))
+    return with_levels(rows, "__line", direction).drop("__line")
+
+
+def measured_runs(glyphs: DataFrame, keys: list[str], run: str, level: str, advance: str) -> DataFrame:
+    """(keys, run, level, n_glyphs, width): the width of each run of shaped glyphs, whichever way it goes."""
+    return glyphs.groupBy(*keys, run).agg(F.first(level).alias(level), F.count("*").alias("n_glyphs"), F.sum(advance).alias("width"))
+
+
+def placed_runs(glyphs: DataFrame, keys: list[str], run: str, level: str, order: str, advance: str, offset: str) -> DataFrame:
+    """Adds ``x`` to the glyphs of a line's runs: runs stand side by side in visual order, and inside a run of odd level the
+    pen goes from its right end to the left."""
+    line = measured_runs(glyphs, keys, run, level, advance).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(run, level, "width"))).alias("runs"))
+    # the order of the runs is decided from their levels alone; a line has few
+
+    def visual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [visual_order([r[level] for r in runs]) for runs in batch.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "order"])
+
+    schema = T.StructType([*line.schema.fields, T.StructField("order", T.ArrayType(T.IntegerType()))])
+    line = line.mapInArrow(visual, schema)
+    placed = line.select(*keys, "runs", F.posexplode("order").alias("place", "which")).select(*keys, "place", F.element_at("runs", F.col("which") + 1).alias("r"))
+    w = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.select(*keys, F.col(f"r.{run}").alias(run), F.coalesce(F.sum("r.width").over(w), F.lit(0)).alias("__start"), F.col("r.width").alias("__width"))
+    before = F.coalesce(F.sum(advance).over(Window.partitionBy(*keys, run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = glyphs.withColumn("__before", before).join(starts, [*keys, run])
+    pen = F.when(F.col(level) % 2 == 1, F.col("__start") + F.col("__width") - F.col("__before") - F.col(advance)).otherwise(F.col("__start") + F.col("__before"))
+    return rows.withColumn("x", pen + F.col(offset)).drop("__before", "__start", "__width")

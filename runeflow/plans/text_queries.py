@@ -92,10 +92,10 @@ def url_parameters(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?')) AS BIGINT) AS n_numbers,
-TRY_CAST(NULLIF(regexp_extract(text, '([0-9]{1,9})', 1), '') AS BIGINT) AS first_integer FROM documents""")
+TRY_CAST(NULLIF(regexp_extract(text, '([0-9]+)', 1), '') AS BIGINT) AS first_integer FROM documents""")
 def number_scan(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s.number_list(t)).cast("bigint").alias("n_numbers"), F.regexp_extract(t, "([0-9]{1,9})", 1).try_cast("bigint").alias("first_integer"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s.number_list(t)).cast("bigint").alias("n_numbers"), F.regexp_extract(t, "([0-9]+)", 1).try_cast("bigint").alias("first_integer"))
 
 
 _BYTES = "list_transform(range(1, strlen({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS {1}))"
@@ -154,9 +154,7 @@ def grapheme_count(spark, sf_dir):
     for k, t in enumerate(_TAILS):
         tail = F.when(F.col("doc_id") % 5 == k, F.lit(t)).otherwise(tail)
     apart = _apart(F.col("text"))
-    first = F.concat(tail, apart)
-    head = F.substring(first, 1, 16)
-    return table(spark, sf_dir, "documents").select("doc_id", u.cluster_count(spark, F.concat(apart, tail)).cast("bigint").alias("n_clusters"), text.first_cluster(head, u.cluster_lengths(spark, head)).alias("first_cluster"))
+    return table(spark, sf_dir, "documents").select("doc_id", u.cluster_count(spark, F.concat(apart, tail)).cast("bigint").alias("n_clusters"), u.first_cluster(spark, F.concat(tail, apart)).alias("first_cluster"))
 
 
 _LATIN = "(65,90),(97,122),(170,170),(186,186),(192,214),(216,246),(248,591)"
@@ -253,6 +251,9 @@ _BIDI = (
     ("a‏b", "auto", 0, "0,1,0"),
     ("a⁧אb⁩c", "auto", 0, "0,0,1,2,0,0"),
     ("א-ב", "ltr", 0, "1,1,1"),
+    ("a⦍b א⦐ ג", "auto", 0, "0,0,0,0,1,0,0,1"),
+    ("a⦏b א⦎ ג", "auto", 0, "0,0,0,0,1,0,0,1"),
+    ("a⦍b א⦎ ג", "auto", 0, "0,0,0,0,1,1,1,1"),
 )
 
 
@@ -266,11 +267,84 @@ def bidi_levels(spark, sf_dir):
     return out.select("id", F.col("base").cast("bigint").alias("base"), F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"))
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS base, CAST(length(text) AS BIGINT) AS n_level_zero FROM documents")
+@query("""WITH p AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END AS body, text FROM documents WHERE text <> '')
+SELECT doc_id, CAST(len(string_split(body, chr(10))) AS BIGINT) AS n_paragraphs, CAST(0 AS BIGINT) AS highest, CAST(length(text) AS BIGINT) AS n_level_zero FROM p""")
 def bidi_documents(spark, sf_dir):
-    """Levels of whole documents, each taken as one paragraph; Latin texts are level 0 throughout."""
-    out = bidi.with_levels(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", F.col("base").cast("bigint").alias("base"), F.size(F.filter("levels", lambda x: x == 0)).cast("bigint").alias("n_level_zero"))
+    """Levels of whole documents, paragraph by paragraph; Latin texts are level 0 throughout."""
+    out = bidi.paragraph_levels(table(spark, sf_dir, "documents"), "doc_id", "text")
+    zero = F.size(F.filter("levels", lambda x: x == 0))
+    return out.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.max(F.coalesce(F.array_max("levels"), F.lit(0))).cast("bigint").alias("highest"), F.sum(zero).cast("bigint").alias("n_level_zero"))
+
+
+_HEBREW = "אבג 12"
+
+
+@query("""SELECT p_partkey, k AS paragraph, k AS base, CASE k WHEN 0 THEN '0,2,1,3' ELSE '3,2,1,0' END AS visual, CAST(CASE k WHEN 0 THEN length(p_name) + 2 ELSE 0 END AS BIGINT) AS n0, CAST(CASE k WHEN 0 THEN 4 ELSE 5 END AS BIGINT) AS n1, CAST(CASE k WHEN 0 THEN 2 ELSE length(p_name) + 2 END AS BIGINT) AS n2
+FROM part, (VALUES (CAST(0 AS BIGINT)), (1)) t(k)""")
+def bidi_mixed(spark, sf_dir):
+    """Two paragraphs of each part, one that begins with its name and one with Hebrew: levels, and runs in visual order."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(f" {_HEBREW}\n{_HEBREW} "), "p_name").alias("t"))
+    out = bidi.paragraph_levels(rows, "p_partkey", "t")
+    n = lambda k: F.size(F.filter("levels", lambda x: x == k)).cast("bigint").alias(f"n{k}")
+    return out.select("p_partkey", F.col("paragraph").cast("bigint").alias("paragraph"), F.col("base").cast("bigint").alias("base"), F.array_join(F.col("order").cast("array<string>"), ",").alias("visual"), n(0), n(1), n(2))
+
+
+@query("""WITH g AS (SELECT n_nationkey, unnest(range(0, length(n_name))) AS ix, length(n_name) AS n FROM nation)
+SELECT n_nationkey, CAST(ix AS BIGINT) AS ix, CAST(CASE WHEN ix < 3 THEN 10 * ix ELSE 30 + 10 * (n - 3) - 10 * (ix - 3) - 10 END AS BIGINT) AS x FROM g""")
+def bidi_positions(spark, sf_dir):
+    """Glyphs of a line with a run to the right and one to the left, placed."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.split("n_name", "")).alias("ix", "ch")).where("ch <> ''")
+    late = (F.col("ix") >= 3).cast("int")
+    glyphs = rows.select("n_nationkey", "ix", late.alias("run"), late.alias("level"), F.lit(10).alias("advance"), F.lit(0).alias("offset"))
+    out = bidi.placed_runs(glyphs, ["n_nationkey"], "run", "level", "ix", "advance", "offset")
+    return out.select("n_nationkey", F.col("ix").cast("bigint").alias("ix"), F.col("x").cast("bigint").alias("x"))
+
+
+# Clusters of two paragraphs (paragraph, place, script, level) and their runs (script, level, first, count).
+_LEVELLED = ((1, 0, "Latin", 0), (1, 1, "Hebrew", 1), (1, 2, "Common", 0), (2, 0, "Latin", 0), (2, 1, "Common", 0), (2, 2, "Hebrew", 1), (2, 3, "Common", 1), (2, 4, "Common", 2), (2, 5, "Latin", 0))
+_LEVEL_RUNS = ((1, "Latin", 0, 0, 1), (1, "Hebrew", 1, 1, 1), (1, "Common", 0, 2, 1), (2, "Latin", 0, 0, 2), (2, "Hebrew", 1, 2, 2), (2, "Common", 2, 4, 1), (2, "Latin", 0, 5, 1))
+
+
+@query("SELECT * FROM (VALUES " + ",".join(f"(CAST({p} AS BIGINT), '{n}', CAST({lv} AS BIGINT), CAST({f} AS BIGINT), CAST({c} AS BIGINT))" for p, n, lv, f, c in _LEVEL_RUNS) + ") t(id, script, level, first_cluster, n_clusters)")
+def script_level_runs(spark, sf_dir):
+    """Runs of one script and level; context doesn't leap over a run of another level."""
+    rows = spark.createDataFrame(list(_LEVELLED), "id long, ix int, resolved string, level int")
+    out = text.script_runs(rows, level="level")
+    return out.select("id", "script", F.col("level").cast("bigint").alias("level"), F.col("first").cast("bigint").alias("first_cluster"), F.col("count").alias("n_clusters"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) - 1 AS ix, unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0), w AS (SELECT doc_id, ix, unicode(ch) AS cp, strlen({_apart_sql('ch')}) AS n FROM c),
+o AS (SELECT doc_id, ix, cp, n, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY ix) AS BIGINT) AS e FROM w)
+SELECT doc_id, count(*) AS n_scalars, CAST(max(e) AS BIGINT) AS n_source_bytes, CAST(sum((cp * 31 + e) % 1000003) AS BIGINT) AS ends, CAST(sum((ix + 1) * (e - n) % 1000003) AS BIGINT) AS begins FROM o GROUP BY doc_id""")
+def nfc_offsets(spark, sf_dir):
+    """Texts taken apart and composed again: the bytes of the source that each composed scalar stands for, summed up."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", _apart(F.col("text")).alias("t"))
+    out = text.nfc_offsets(rows, "doc_id", "t").selectExpr("doc_id", "cast(ix as bigint) AS ix", "cast(cp as bigint) AS cp", "cast(`begin` as bigint) AS b", "cast(`end` as bigint) AS e")
+    return out.groupBy("doc_id").agg(F.count("*").alias("n_scalars"), F.max("e").alias("n_source_bytes"), F.sum(F.expr("(cp * 31 + e) % 1000003")).alias("ends"), F.sum(F.expr("(ix + 1) * b % 1000003")).alias("begins"))
+
+
+@query("""SELECT o_orderkey, hex(CAST((CAST(o_orderkey AS HUGEINT) * 1152921504606846976) % 18446744073709551616 + (o_orderkey >> 4) AS UBIGINT)) AS rotated64,
+CAST(floor((CASE WHEN (o_orderkey * 1048576) % 4294967296 >= 2147483648 THEN (o_orderkey * 1048576) % 4294967296 - 4294967296 ELSE (o_orderkey * 1048576) % 4294967296 END) / 8.0) AS BIGINT) AS shifted,
+CAST((ascii(substr(o_orderpriority, 2, 1)) // 8 + ascii(substr(o_orderpriority, 3, 1)) * 32) % 4096 AS BIGINT) AS bits, CASE WHEN o_orderstatus = 'O' THEN true WHEN o_orderstatus = 'F' THEN false END AS flag FROM orders""")
+def wide_bit_functions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    flag = s.boolean(F.when(F.col("o_orderstatus") == "O", " On ").when(F.col("o_orderstatus") == "F", "no").otherwise("?"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.hex(s.rotate_left64(k, 60)).alias("rotated64"), s.arithmetic_shift32(k * 1048576, 3).alias("shifted"), s.bits_from_bytes(F.encode("o_orderpriority", "utf-8"), 11, 12).alias("bits"), flag.alias("flag"))
+
+
+@query("""SELECT n_nationkey, split_part(n_name, 'I', 1) AS enclosed, n_name || '",a"' AS before_comma FROM nation""")
+def enclosed_tokens(spark, sf_dir):
+    """Tokens between marks, and up to a delimiter that isn't quoted."""
+    inside = F.concat(F.lit("("), F.replace("n_name", F.lit("I"), F.lit(")")), F.lit(")tail"))
+    quoted_comma = F.concat("n_name", F.lit('",a",rest'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", s.read_enclosed(inside, "(", ")").alias("enclosed"), s.read_until_unquoted(quoted_comma, ",").alias("before_comma"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """Events by type in tumbling windows of an hour: what the stream keeps, over the table."""
+    out = streams.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour", "2 hours")
+    return out.select("event_type", F.col("window.start").alias("hour"), "n")
 
 
 _DEVANAGARI = ("क", "क्ष", "र्क", "कि", "अं", "क्‍ष", "हिन्दी", "नमस्ते", "abc", "१२", "़", "कx")

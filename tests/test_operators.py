@@ -194,3 +194,65 @@ def test_shaping_real_fonts(spark):
     rules = fonts.substitution_rules(files).where("type = 4").collect()
     ffi = [shaper.map[ord(c)] for c in "ffi"]
     assert any(r.input == ffi for r in rules)
+
+
+def test_every_bracket_has_its_own_partner(spark):
+    """The table against the library's, over all paired brackets."""
+    rows = u.code_points(spark, 0, 0xFFFF).select("cp", u.paired_bracket(F.col("cp")).alias("p"), u.value("bracket_type", F.col("cp")).alias("k")).where("k = 'Open'").collect()
+    assert {ord(a): ord(b) for a, b in zip(bidi._OPEN, bidi._CLOSE, strict=True)} == {r.cp: r.p for r in rows}
+    assert len(rows) == 64
+
+
+def test_bidi_classes_are_the_librarys(spark):
+    rows = spark.createDataFrame([(c,) for c in range(0, 0x3000)], "cp int").select("cp", u.number("bidi_class", F.col("cp")).alias("k"), u.value("bidi_class", F.col("cp"), True).alias("v")).collect()
+    assert all(bidi.CLASSES[r.k] == r.v for r in rows)
+
+
+def test_composed_scalars_and_their_sources(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("aeq̣́̄ébạ각각Åͅ") for _ in range(rnd.randrange(1, 12))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {}
+    for r in text.nfc_offsets(df, "id", "t").orderBy("id", "ix").collect():
+        got.setdefault(r.id, []).append((r.cp, r.begin, r.end))
+    for k, t in enumerate(texts):
+        assert "".join(chr(c) for c, *_ in got[k]) == unicodedata.normalize("NFC", t), t
+        raw = t.encode()
+        for _, a, b in got[k]:  # ranges fall on scalars, and together they take in the whole source
+            assert 0 <= a < b <= len(raw)
+            raw[a:b].decode()
+        assert {x for _, a, b in got[k] for x in range(a, b)} == set(range(len(raw)))
+    assert text.nfc_pieces("éx") == [(0xE9, 0, 3), (0x78, 3, 4)]
+    assert text.nfc_pieces("ạ́") == [(0x1EA1, 0, 5), (0x301, 1, 3)]
+    union = text.source_union(spark.createDataFrame([(1, 2, 4), (1, 7, 7), (1, 0, 1)], "k int, begin int, end int"), ["k"])
+    assert [tuple(r) for r in union.collect()] == [(1, 0, 4)]
+
+
+def test_ignorable_scalars_need_no_glyph(spark):
+    clusters = spark.createDataFrame([(1, 0, [97, 0x200D]), (1, 1, [0x200B]), (1, 2, [0x200D, 98])], "id int, ix int, cps array<int>")
+    cmap = spark.createDataFrame([("f0", 0, 97), ("f1", 1, 98)], "face string, priority int, cp int")
+    got = [(r.face, r.complete, r["count"]) for r in text.font_runs(clusters, cmap).orderBy("run").collect()]
+    assert got == [("f0", True, 2), ("f1", True, 1)]
+
+
+def test_paragraph_faults(spark):
+    rows = [(1, 0, 0, 2, 0), (1, 1, 2, 1, 1), (2, 0, 0, 1, 0), (2, 1, 2, 1, 0), (2, 2, 2, 1, 0), (3, 0, 0, 0, 0), (4, 0, 0, 1, 127)]
+    df = spark.createDataFrame(rows, "id int, ix int, first int, count int, level int")
+    assert sorted(map(tuple, text.paragraph_faults(df, level="level").collect())) == [(2, 1, "gap"), (2, 2, "overlap"), (3, 0, "empty cluster"), (4, 0, "level out of range")]
+
+
+def test_wide_rotations_and_bits(spark):
+    assert one(spark, 0x0123456789ABCDEF, F.hex(s.rotate_left64(F.col("x"), 8)), "long") == "23456789ABCDEF01"
+    assert one(spark, 1, F.hex(s.rotate_right64(F.col("x"), 1)), "long") == "8000000000000000"
+    assert one(spark, 0xFFFFFFF0, s.arithmetic_shift32(F.col("x"), 2), "long") == -4
+    assert one(spark, bytearray(b"\x12\x34\x56"), s.bits_from_bytes(F.col("x"), 4, 12), "binary") == 0x341
+    assert one(spark, "[a]b]", s.read_enclosed(F.col("x"), "[", "]")) == "a"
+    assert one(spark, "a]", s.read_enclosed(F.col("x"), "[", "]")) is None
+    assert one(spark, 'a"b,\\"c",d', s.read_until_unquoted(F.col("x"), ",")) == 'a"b,\\"c"'
+    assert [one(spark, x, s.boolean(F.col("x"))) for x in ("YES", " 0 ", "maybe")] == [True, False, None]
+
+
+def test_first_cluster_of_any_length(spark):
+    long = "e" + "́" * 100
+    assert one(spark, long + "x", u.first_cluster(spark, F.col("x"))) == long
+    assert [one(spark, t, u.cluster_count(spark, F.col("x"))) for t in ("a\r\nb", "ab\r", "", "é🙂x", "é")] == [3, 3, 0, 3, 1]
