@@ -112,9 +112,7 @@ def shape_documents(spark, sf_dir):
     lines = F.when(F.size("lines") == 0, F.array(F.lit(""))).otherwise(F.col("lines"))
     docs = docs.select("row", "doc_id", F.posexplode_outer(lines).alias("ix", "line"))
     docs = docs.withColumn("line", F.regexp_replace("line", "[\\n\\r\\x1c-\\x1e\\x85\\u2029]+$", ""))
-    out = shaping.shape_runs(docs, _files(spark), _SANS, "line")
-    width = F.aggregate(F.transform("glyphs", lambda g: g["advance"]), F.lit(0), lambda a, b: a + b)
-    out = out.select("row", "doc_id", "ix", F.size("glyphs").alias("n"), width.alias("w"))
+    out = shaping.measure_runs(docs, _files(spark), _SANS, "line").select("row", "doc_id", "ix", F.col("n_glyphs").alias("n"), F.col("width").alias("w"))
     out = out.groupBy("row", "doc_id").agg(F.sum("n").alias("n_glyphs"), F.sum("w").alias("width"), F.array_sort(F.collect_list(F.struct("ix", "w"))).alias("by_line"))
     return out.select("doc_id", "n_glyphs", "width", F.transform("by_line", lambda x: x["w"]).alias("line_widths"))
 
