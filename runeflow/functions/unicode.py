@@ -21,7 +21,7 @@ ENUMERATED = {
     "grapheme_cluster_break": 0x1012, "sentence_break": 0x1013, "word_break": 0x1014, "bracket_type": 0x1015, "indic_positional_category": 0x1016,
     "indic_syllabic_category": 0x1017, "vertical_orientation": 0x1018, "indic_conjunct_break": 0x101A,
 }
-BINARY = {"default_ignorable": 5, "full_composition_exclusion": 9, "extended_pictographic": 64}
+BINARY = {"default_ignorable": 5, "full_composition_exclusion": 9, "extended_pictographic": 64, "emoji": 57, "emoji_presentation": 58}
 
 
 def _call(owner: str, method: str, *args) -> Column:

@@ -186,3 +186,168 @@ def workload_tiers(spark, sf_dir):
     """Typical, high and extreme ligature inputs of the faces, by nearest rank."""
     rules = fonts.substitution_rules(_files(spark)).where("type = 4").select("path", "lookup", "subtable", "ord", F.size("input").alias("components"))
     return reports.tiers(rules, ["path"], [F.col("components"), F.col("lookup"), F.col("subtable"), F.col("ord")])
+
+
+@query()
+def context_rules(spark, sf_dir):
+    """Rules with context of each face by table and type: how many, the longest parts, and the most in a sub-table."""
+    k = fonts.context_rules(_files(spark))
+    per = k.groupBy("path", "table_tag", "type", "lookup", "subtable").agg(F.count("*").alias("n"), F.max(F.size("back")).alias("back"), F.max(F.size("input") + 1).alias("input"), F.max(F.size("ahead")).alias("ahead"), F.max(F.size("lookups")).alias("actions"))
+    return per.groupBy("path", "table_tag", "type").agg(F.sum("n").alias("rules"), F.max("n").alias("most_in_subtable"), *[F.max(c).alias(f"longest_{c}") for c in ("back", "input", "ahead")], F.max("actions").alias("most_actions"))
+
+
+@query()
+def class_pair_cells(spark, sf_dir):
+    """Cells of class pairs that move something, and the explicit pairs that they stand for on the first side."""
+    return fonts.class_pairs(_files(spark)).groupBy("path").agg(F.count("*").alias("cells"), F.sum("firsts").alias("first_glyphs"), F.min("advance").alias("least"), F.max("advance").alias("most"))
+
+
+@query()
+def attachment_points(spark, sf_dir):
+    """Attachment points of each face by lookup type and part."""
+    return fonts.anchors(_files(spark)).groupBy("path", "type", "part").agg(F.count("*").alias("points"), F.countDistinct("gid").alias("glyphs"), F.max("class").alias("highest_class"))
+
+
+def _measures(files):
+    """(path, metric, value): what makes a face hard to shape, one row a metric."""
+    subs = fonts.substitution_rules(files)
+    fan = subs.groupBy("path", "type", "lookup", "subtable", F.col("input")[0].alias("first")).agg(F.count("*").alias("fan"), F.max(F.size("input")).alias("parts"), F.max(F.size("output")).alias("wide"))
+    pairs2 = subs.where((F.col("type") == 4) & (F.size("input") >= 2)).groupBy("path", "lookup", "subtable", F.col("input")[0].alias("a"), F.col("input")[1].alias("b")).agg(F.count("*").alias("fan"))
+    ctx = fonts.context_rules(files)
+    in_sub = ctx.groupBy("path", "table_tag", "lookup", "subtable").agg(F.count("*").alias("n"))
+    by_first = ctx.select("path", "table_tag", "lookup", "subtable", F.explode("first").alias("g")).groupBy("path", "table_tag", "lookup", "subtable", "g").agg(F.count("*").alias("n"))
+    cells, explicit = fonts.class_pairs(files), fonts.pair_rules(files)
+    census, points = fonts.lookups(files), fonts.anchors(files)
+    name = lambda df, metric, value: df.groupBy("path").agg(value.cast("long").alias("value")).select("path", F.lit(metric).alias("metric"), "value")
+    rows = [
+        name(subs.where("type = 1").groupBy("path", "lookup", "subtable").agg(F.count("*").alias("n")), "single_mappings_in_subtable", F.max("n")),
+        name(fan.where("type = 2"), "multiple_output", F.max("wide")),
+        name(fan.where("type = 3"), "alternates", F.max("wide")),
+        name(fan.where("type = 4"), "ligature_fan_out", F.max("fan")),
+        name(fan.where("type = 4"), "ligature_components", F.max("parts")),
+        name(pairs2, "ligature_prefix2_fan_out", F.max("fan")),
+        name(in_sub, "context_rules_in_subtable", F.max("n")),
+        name(by_first, "context_first_fan_out", F.max("n")),
+        name(ctx, "context_back", F.max(F.size("back"))),
+        name(ctx, "context_input", F.max(F.size("input") + 1)),
+        name(ctx, "context_ahead", F.max(F.size("ahead"))),
+        name(ctx, "context_set", F.max(F.array_max(F.when(F.col("format") == 3, F.concat("back", "input", "ahead"))))),
+        name(explicit, "explicit_pairs", F.count("*")),
+        name(cells, "class_cells", F.count("*")),
+        name(points.where("part = 'mark'"), "attached_marks", F.countDistinct("gid")),
+        name(points.where("part = 'base'"), "attachment_bases", F.countDistinct("gid")),
+        name(census, "lookups", F.count("*")),
+        name(census, "subtables_in_lookup", F.max("subtables")),
+        name(census.where(F.col("flag").bitwiseAND(0xFF1E) != 0), "filtered_lookups", F.count("*")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.where("value IS NOT NULL")
+
+
+@query()
+def font_face_records(spark, sf_dir):
+    """One row a face: its names, size, and every measure of its rules; what it lacks is 0."""
+    files = _files(spark)
+    wide = _measures(files).groupBy("path").pivot("metric", sorted(METRICS)).agg(F.first("value"))
+    out = fonts.faces(files).select("path", "face_ix", "family", "subfamily", "glyph_count", "weight", "slant").join(wide, "path", "left")
+    return out.na.fill(0, list(METRICS))
+
+
+METRICS = (
+    "single_mappings_in_subtable", "multiple_output", "alternates", "ligature_fan_out", "ligature_components", "ligature_prefix2_fan_out", "context_rules_in_subtable", "context_first_fan_out", "context_back", "context_input",
+    "context_ahead", "context_set", "explicit_pairs", "class_cells", "attached_marks", "attachment_bases", "lookups", "subtables_in_lookup", "filtered_lookups",
+)
+
+
+@query()
+def font_extremes(spark, sf_dir):
+    """The largest value of each measure over all faces, and the face that has it."""
+    return reports.extremes(_measures(_files(spark)), "path")
+
+
+@query()
+def font_metric_histograms(spark, sf_dir):
+    """Faces by the size of each measure."""
+    return reports.histogram(_measures(_files(spark)), F.col("value"), [0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096], "metric")
+
+
+@query()
+def font_filter_summary(spark, sf_dir):
+    """Lookups by what their flags skip."""
+    k, bit = fonts.lookups(_files(spark)), lambda b: F.col("flag").bitwiseAND(b) != 0
+    named = k.select("path", "table_tag", "type", bit(1).alias("right_to_left"), bit(2).alias("bases"), bit(4).alias("ligatures"), bit(8).alias("marks"), bit(16).alias("mark_set"), (F.col("flag") >= 256).alias("mark_class"))
+    return named.groupBy("table_tag", "type", "right_to_left", "bases", "ligatures", "marks", "mark_set", "mark_class").agg(F.count("*").alias("lookups"), F.countDistinct("path").alias("faces"))
+
+
+@query()
+def workload_families(spark, sf_dir):
+    """Glyph sequences that hit the rules of each family, typical, high and extreme ones by the size of the rule."""
+    files = _files(spark)
+    subs = fonts.substitution_rules(files)
+    one = lambda df, family, size, glyphs, length: df.select(F.lit(family).alias("family"), "path", F.lit("GSUB").alias("table_tag"), "lookup", "subtable", "ord", size.cast("int").alias("size"), glyphs.alias("glyphs"), length.cast("int").alias("expected_length"))
+    first = lambda k: subs.where(F.col("type") == k)
+    lig = first(4)
+    fan = lig.groupBy("path", "lookup", "subtable", F.col("input")[0].alias("f")).agg(F.count("*").alias("fan"))
+    lig = lig.withColumn("f", F.col("input")[0]).join(fan, ["path", "lookup", "subtable", "f"])
+    pairs = fonts.pair_rules(files).withColumn("ord", F.col("second"))
+    ctx = fonts.context_rules(files).where("format = 1 AND table_tag = 'GSUB'")
+    sequence = F.concat(F.reverse("back"), F.slice("first", 1, 1), F.col("input"), F.col("ahead"))
+    parts = [
+        one(first(1), "single", F.abs(F.col("output")[0] - F.col("input")[0]), F.col("input"), F.lit(1)),
+        one(first(2), "multiple", F.size("output"), F.col("input"), F.size("output")),
+        one(first(3), "alternate", F.size("output"), F.col("input"), F.lit(1)),
+        one(lig, "ligature_components", F.size("input"), F.col("input"), F.lit(1)),
+        one(lig, "ligature_fan_out", F.col("fan"), F.col("input"), F.lit(1)),
+        one(ctx, "context_back", F.size("back"), sequence, F.lit(None)),
+        one(ctx, "context_input", F.size("input") + 1, sequence, F.lit(None)),
+        one(ctx, "context_ahead", F.size("ahead"), sequence, F.lit(None)),
+        one(pairs, "explicit_pair", F.abs("advance"), F.array("first", "second"), F.lit(2)).withColumn("table_tag", F.lit("GPOS")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return reports.tiers(rows, ["family"], [F.col("size"), F.col("path"), F.col("lookup"), F.col("subtable"), F.col("ord")])
+
+
+@query()
+def workload_runs(spark, sf_dir):
+    """Each workload's lookup applied to its sequence, repeated: lengths before and after."""
+    files = _files(spark)
+    work = workload_families(spark, sf_dir)
+    return shaping.applied(work, files, "glyphs", repeat=16).select("family", "tier", "path", "table_tag", "lookup", "expected_length", F.size("glyphs").alias("n_input"), F.size("out").alias("n_output"))
+
+
+@query()
+def emoji_fonts(spark, sf_dir):
+    """Faces that have characters of emoji presentation, and how many of them."""
+    need = u.code_points(spark).where(u.holds("emoji_presentation", F.col("cp"))).select("cp", F.lit("emoji").alias("set"))
+    return sets.coverage(fonts.cmap(_files(spark)).select("path", "cp"), need, "path", "set").select("path", "covered", "total")
+
+
+@query()
+def ligature_fonts(spark, sf_dir):
+    """In all faces, the ligature rules for pairs and triples of Latin letters, as a join of rules with characters."""
+    files = _files(spark)
+    letters = fonts.cmap(files).where("cp BETWEEN 97 AND 122").select("path", "face_ix", "gid", F.chr("cp").alias("letter"))
+    rules = fonts.substitution_rules(files).where("type = 4").select("path", "face_ix", "lookup", "subtable", "ord", F.size("input").alias("n"), F.posexplode("input").alias("at", "gid"))
+    spelled = rules.join(letters, ["path", "face_ix", "gid"]).groupBy("path", "face_ix", "lookup", "subtable", "ord", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "letter"))), lambda x: x["letter"]), "").alias("word"))
+    return spelled.where(F.char_length("word") == F.col("n")).groupBy("path", "word").agg(F.count("*").alias("rules"))
+
+
+@query()
+def kerning_fonts(spark, sf_dir):
+    """In all faces, the explicit pairs of Latin letters that move, as a join of rules with characters."""
+    files = _files(spark)
+    letters = fonts.cmap(files).where("cp BETWEEN 65 AND 90 OR cp BETWEEN 97 AND 122").select("path", "face_ix", "gid", F.chr("cp").alias("letter"))
+    rules = fonts.pair_rules(files).where("advance <> 0")
+    a, b = letters.select("path", "face_ix", F.col("gid").alias("first"), F.col("letter").alias("a")), letters.select("path", "face_ix", F.col("gid").alias("second"), F.col("letter").alias("b"))
+    return rules.join(a, ["path", "face_ix", "first"]).join(b, ["path", "face_ix", "second"]).select("path", "lookup", "subtable", F.concat("a", "b").alias("pair"), "advance")
+
+
+@query()
+def cmap_lookups(spark, sf_dir):
+    """For each face, code points of planes 0 and 1 that it maps and that it lacks: what a look-up benchmark draws from."""
+    have = fonts.cmap(_files(spark)).groupBy("path", F.floor(F.col("cp") / 65536).alias("plane")).agg(F.count("*").alias("hits"), F.countDistinct("gid").alias("glyphs"), F.max("cp").alias("highest"))
+    return have.withColumn("misses", F.lit(65536) - F.col("hits"))

@@ -20,7 +20,7 @@ DEJAVU = "/usr/share/fonts/truetype/dejavu"
 
 def font_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, content of the font files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ttf,otf,ttc,TTF,OTF,TTC}").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[tT][tT][fF],[oO][tT][fF],[tT][tT][cC]}").load(folder)
     return files.select("path", "content")
 
 
@@ -81,6 +81,17 @@ class Face:
     def units(self) -> int:
         return self.r.u16(self.at("head") + 18) if "head" in self.tables else 0
 
+    @property
+    def style(self) -> tuple[int, bool, str]:
+        """(weight class, bold, slant): slant is roman, italic or oblique."""
+        mac = self.r.u16(self.at("head") + 44) if "head" in self.tables else 0
+        a = self.at("OS/2")
+        weight, chosen = (self.r.u16(a + 4), self.r.u16(a + 62)) if a is not None else (700 if mac & 1 else 400, 0)
+        angle = self.r.u32(self.at("post") + 4) if "post" in self.tables else 0
+        name = (self.best_name(2) or "").lower()
+        slanted = bool(mac & 2 or chosen & 1 or chosen & 512 or angle)
+        return weight, bool(mac & 1 or chosen & 32), ("oblique" if chosen & 512 or "oblique" in name else "italic") if slanted else "roman"
+
     def names(self) -> list[tuple[int, int, int, int, str]]:
         """(platform, encoding, language, name, text)."""
         a = self.at("name")
@@ -357,9 +368,9 @@ def per_face(files: DataFrame, schema: str, rows: Callable[[Face], Iterator[tupl
 
 def faces(files: DataFrame) -> DataFrame:
     def rows(f: Face) -> Iterator[tuple]:
-        yield f.best_name(1), f.best_name(2), f.best_name(4), f.best_name(6), f.glyphs, f.units, sorted(f.tables)
+        yield f.best_name(1), f.best_name(2), f.best_name(4), f.best_name(6), f.glyphs, f.units, sorted(f.tables), *f.style
 
-    return per_face(files, "family string, subfamily string, full_name string, postscript string, glyph_count int, units_per_em int, tables array<string>", rows)
+    return per_face(files, "family string, subfamily string, full_name string, postscript string, glyph_count int, units_per_em int, tables array<string>, weight int, bold boolean, slant string", rows)
 
 
 def font_tables(files: DataFrame) -> DataFrame:
@@ -486,3 +497,133 @@ def substitute_singles(glyphs: DataFrame, rules: DataFrame, lookup: int, gid: st
     first = rules.where((F.col("lookup") == lookup) & (F.col("type") == 1)).groupBy(F.col("input")[0].alias("__in")).agg(F.min_by(F.col("output")[0], F.col("subtable")).alias("__out"))
     kept = [c for c in glyphs.columns if c != gid]
     return glyphs.join(first, F.col(gid) == F.col("__in"), "left").select(*kept, F.coalesce("__out", gid).alias(gid))
+
+
+def _sequence(r: Reader, p: int, less: int = 0) -> tuple[list[int], int]:
+    n = r.u16(p) - less
+    return r.array(">u2", p + 2, n).tolist(), p + 2 + 2 * n
+
+
+def _contexts(f: Face) -> Iterator[tuple]:
+    """(table, lookup, type, subtable, format, ord, first, back, input, ahead, places, lookups) of rules with context.
+
+    ``first`` has the glyphs that may begin a match. ``back``, ``input`` (after the first) and ``ahead`` are glyphs in
+    format 1, classes in format 2, and the sizes of glyph sets in format 3.
+    """
+    r = f.r
+    for tag, kinds in (("GSUB", (5, 6)), ("GPOS", (7, 8))):
+        for k, kind, _, _, subs in f.lookups(tag):
+            for j, a in enumerate(subs if kind in kinds else ()):
+                fmt, chained = r.u16(a), kind == kinds[1]
+                head = (tag, k, kind, j, fmt)
+                if fmt == 3:
+                    if chained:
+                        back, p = _sequence(r, a + 2)
+                        inside, p = _sequence(r, p)
+                        ahead, p = _sequence(r, p)
+                        n, p = r.u16(p), p + 2
+                    else:
+                        back, ahead, n = [], [], r.u16(a + 4)
+                        inside = r.array(">u2", a + 6, r.u16(a + 2)).tolist()
+                        p = a + 6 + 2 * len(inside)
+                    sizes = [[len(f.coverage(a + o)) for o in x] for x in (back, inside[1:], ahead)]
+                    acts = r.array(">u2", p, 2 * n).tolist()
+                    yield *head, 0, f.coverage(a + inside[0]) if inside else [], *sizes, acts[::2], acts[1::2]
+                    continue
+                cov = f.coverage(a + r.u16(a + 2))
+                at = a + 4 + (2 * (3 if chained else 1) if fmt == 2 else 0)
+                classes = f.classes(a + r.u16(a + (6 if chained else 4))) if fmt == 2 else {}
+                order = 0
+                for i in range(r.u16(at)):
+                    off = r.u16(at + 2 + 2 * i)
+                    first = [g for g in cov if classes.get(g, 0) == i] if fmt == 2 else cov[i : i + 1]
+                    for m in range(r.u16(a + off) if off and first else 0):
+                        p = a + off + r.u16(a + off + 2 + 2 * m)
+                        if chained:
+                            back, p = _sequence(r, p)
+                            inside, p = _sequence(r, p, 1)
+                            ahead, p = _sequence(r, p)
+                            n, p = r.u16(p), p + 2
+                        else:
+                            n, back, ahead = r.u16(p + 2), [], []
+                            inside = r.array(">u2", p + 4, r.u16(p) - 1).tolist()
+                            p += 4 + 2 * len(inside)
+                        acts = r.array(">u2", p, 2 * n).tolist()
+                        yield *head, order, first, back, inside, ahead, acts[::2], acts[1::2]
+                        order += 1
+
+
+def context_rules(files: DataFrame) -> DataFrame:
+    kind = "table_tag string, lookup int, type int, subtable int, format int, ord int, first array<int>, back array<int>, input array<int>, ahead array<int>, places array<int>, lookups array<int>"
+    return per_face(files, kind, _contexts)
+
+
+def _reverse_rules(f: Face) -> Iterator[tuple]:
+    """(lookup, subtable, ord, input, output, back, ahead): single substitutions from the end; sizes of the sets around."""
+    r = f.r
+    for k, kind, _, _, subs in f.lookups("GSUB"):
+        for j, a in enumerate(subs if kind == 8 else ()):
+            back, p = _sequence(r, a + 4)
+            ahead, p = _sequence(r, p)
+            new, _ = _sequence(r, p)
+            around = [[len(f.coverage(a + o)) for o in x] for x in (back, ahead)]
+            for n, (g, x) in enumerate(zip(f.coverage(a + r.u16(a + 2)), new, strict=False)):
+                yield k, j, n, g, x, *around
+
+
+def reverse_rules(files: DataFrame) -> DataFrame:
+    return per_face(files, "lookup int, subtable int, ord int, input int, output int, back array<int>, ahead array<int>", _reverse_rules)
+
+
+def _class_pairs(f: Face) -> Iterator[tuple]:
+    """(lookup, subtable, class1, class2, firsts, advance): cells of class pairs that move something, and how many first
+    glyphs each holds for."""
+    r = f.r
+    for k, kind, _, _, subs in f.lookups("GPOS"):
+        for j, a in enumerate(subs):
+            if kind != 2 or r.u16(a) != 2:
+                continue
+            f1, f2 = r.u16(a + 4), r.u16(a + 6)
+            s1, s2 = bin(f1 & 0xFF).count("1"), bin(f2 & 0xFF).count("1")
+            n1, n2, c1 = r.u16(a + 12), r.u16(a + 14), f.classes(a + r.u16(a + 8))
+            values = r.array(">i2", a + 16, n1 * n2 * (s1 + s2)).reshape(n1, n2, s1 + s2)
+            held: dict[int, int] = {}
+            for g in f.coverage(a + r.u16(a + 2)):
+                held[c1.get(g, 0)] = held.get(c1.get(g, 0), 0) + 1
+            place = bin(f1 & 3).count("1")
+            for x, y in np.argwhere(values.any(axis=2)).tolist():
+                if x in held:
+                    yield k, j, x, y, held[x], int(values[x, y, place]) if f1 & 4 else 0
+
+
+def class_pairs(files: DataFrame) -> DataFrame:
+    return per_face(files, "lookup int, subtable int, class1 int, class2 int, firsts int, advance int", _class_pairs)
+
+
+def _anchors(f: Face) -> Iterator[tuple]:
+    """(lookup, type, subtable, part, gid, class, component, x, y) of attachment points: entries, exits, marks and bases."""
+    r = f.r
+    point = lambda p: (r.i16(p + 2), r.i16(p + 4))
+    for k, kind, _, _, subs in f.lookups("GPOS"):
+        for j, a in enumerate(subs):
+            if kind == 3:
+                for i, g in enumerate(f.coverage(a + r.u16(a + 2))):
+                    for part, off in (("entry", r.u16(a + 6 + 4 * i)), ("exit", r.u16(a + 8 + 4 * i))):
+                        if off:
+                            yield k, kind, j, part, g, 0, 0, *point(a + off)
+            if kind not in (4, 5, 6):
+                continue
+            n, marks, bases = r.u16(a + 6), a + r.u16(a + 8), a + r.u16(a + 10)
+            for i, g in enumerate(f.coverage(a + r.u16(a + 2))):
+                yield k, kind, j, "mark", g, r.u16(marks + 2 + 4 * i), 0, *point(marks + r.u16(marks + 4 + 4 * i))
+            for i, g in enumerate(f.coverage(a + r.u16(a + 4))):
+                top = bases + r.u16(bases + 2 + 2 * i) if kind == 5 else bases
+                for part in range(r.u16(top) if kind == 5 else 1):
+                    for c in range(n):
+                        off = r.u16(top + 2 + 2 * ((part if kind == 5 else i) * n + c))
+                        if off:
+                            yield k, kind, j, "base", g, c, part, *point(top + off)
+
+
+def anchors(files: DataFrame) -> DataFrame:
+    return per_face(files, "lookup int, type int, subtable int, part string, gid int, class int, component int, x int, y int", _anchors)
