@@ -10,6 +10,7 @@ from runeflow.functions import scalar as s
 from runeflow.functions import unicode as u
 from runeflow.operators import bidi, recognition, text
 from runeflow.plans.registry import query, quoted
+from runeflow.sources import tables as ucd
 from runeflow.sources.tables import table, ucd_ranges
 from runeflow.streaming import texts as streams
 
@@ -217,6 +218,63 @@ def ucd_file_ranges(spark, sf_dir):
     return found.select(F.col("first").cast("bigint").alias("first_cp"), F.col("last").cast("bigint").alias("last_cp"), F.col("values")[0].alias("script"))
 
 
+
+# Lines of the forms of the main data file, of the alias file and of a file with defaults.
+_MAIN = (
+    "0041;LATIN CAPITAL LETTER A;Lu;0;L;;;;;N;;;;0061;", "00BD;VULGAR FRACTION ONE HALF;No;0;ON;<fraction> 0031 2044 0032;;;1/2;N;FRACTION ONE HALF;;;;", "00C5;LATIN CAPITAL LETTER A WITH RING ABOVE;Lu;0;L;0041 030A;;;;N;;;;00E5;",
+    "0300;COMBINING GRAVE ACCENT;Mn;230;NSM;;;;;N;;;;;", "0028;LEFT PARENTHESIS;Ps;0;ON;;;;;Y;OPENING PARENTHESIS;;;;", "3400;<CJK Ideograph Extension A, First>;Lo;0;L;;;;;N;;;;;", "4DBF;<CJK Ideograph Extension A, Last>;Lo;0;L;;;;;N;;;;;",
+    "01C5;LATIN CAPITAL LETTER D WITH SMALL LETTER Z WITH CARON;Lt;0;L;<compat> 0044 017E;;;;N;;;01C4;01C6;01C5",
+)
+_ALIASES = ("# names", "gc ; Lu ; Uppercase_Letter", "gc ; Nd ; Decimal_Number ; digit", "ccc; 230; A ; Above", "sc ; Qaai ; Inherited ; Zinh # x", "sc ; Latn ; Latin")
+_DEFAULTS = ("# @missing: 0000..00FF; Neutral", "# @missing: 0020..002F; Wide", "0025..0027 ; Narrow # x", "0041 ; Ambiguous")
+
+
+def _lines_sql(lines) -> str:
+    return "(VALUES " + ",".join(f"({k}, {quoted(x)})" for k, x in enumerate(lines)) + ") l(k, line)"
+
+
+_HEX = "CAST('0x' || {} AS BIGINT)"
+
+
+@query(f"""WITH f AS (SELECT string_split(line, ';') AS f FROM {_lines_sql(_MAIN)}), r AS (SELECT {_HEX.format('f[1]')} AS cp, f FROM f), e AS (SELECT regexp_extract(f[2], '^<(.*), (First|Last)>$', 1) AS of, max(cp) AS last_cp FROM r WHERE f[2] LIKE '%First>' OR f[2] LIKE '%Last>' GROUP BY 1)
+SELECT cp AS first_cp, coalesce(last_cp, cp) AS last_cp, CASE WHEN of IS NULL THEN f[2] ELSE of END AS name, f[3] AS category, CAST(f[4] AS BIGINT) AS combining_class, f[5] AS bidi_class, NULLIF(regexp_extract(f[6], '^<([^>]*)>', 1), '') AS kind,
+NULLIF(trim(regexp_replace(f[6], '^<[^>]*>', '')), '') AS mapping, NULLIF(f[9], '') AS numeric_value, f[10] = 'Y' AS mirrored, CASE WHEN f[14] <> '' THEN {_HEX.format('f[14]')} END AS lower_cp FROM r LEFT JOIN e ON regexp_extract(f[2], '^<(.*), First>$', 1) = of WHERE f[2] NOT LIKE '%Last>'""")
+def ucd_unicode_data(spark, sf_dir):
+    """The main data file's lines as rows."""
+    d = ucd.unicode_data(spark.createDataFrame([(x,) for x in _MAIN], "value string"))
+    mapping = F.array_join(F.transform("mapping", lambda c: F.lpad(F.hex(c.cast("bigint")), 4, "0")), " ")
+    wide = lambda c, n: F.col(c).cast("bigint").alias(n)
+    return d.select(wide("first", "first_cp"), wide("last", "last_cp"), "name", "category", wide("combining_class", "combining_class"), "bidi_class", F.col("decomposition_kind").alias("kind"), mapping.alias("mapping"), F.col("numeric").alias("numeric_value"), "mirrored", wide("lower", "lower_cp"))
+
+
+@query(f"""WITH f AS (SELECT list_transform(string_split(regexp_replace(line, '#.*$', ''), ';'), lambda x: trim(x)) AS f FROM {_lines_sql(_ALIASES)} WHERE trim(regexp_replace(line, '#.*$', '')) <> '')
+SELECT f[1] AS property, CASE WHEN f[1] = 'ccc' THEN CAST(f[2] AS BIGINT) END AS number, CASE WHEN f[1] = 'ccc' THEN f[3] ELSE f[2] END AS short, CASE WHEN f[1] = 'ccc' THEN f[4] ELSE f[3] END AS long, array_to_string(CASE WHEN f[1] = 'ccc' THEN f[5:] ELSE f[4:] END, ' ') AS others FROM f""")
+def ucd_value_aliases(spark, sf_dir):
+    a = ucd.value_aliases(spark.createDataFrame([(x,) for x in _ALIASES], "value string"))
+    return a.select("property", F.col("number").cast("bigint").alias("number"), "short", "long", F.array_join("others", " ").alias("others"))
+
+
+@query("SELECT CAST(cp AS BIGINT) AS cp, CASE WHEN cp BETWEEN 37 AND 39 THEN 'Narrow' WHEN cp = 65 THEN 'Ambiguous' WHEN cp BETWEEN 32 AND 47 THEN 'Wide' ELSE 'Neutral' END AS value FROM range(0, 256) t(cp)")
+def ucd_defaults(spark, sf_dir):
+    """Values with a file's defaults applied, the later default first."""
+    lines = spark.createDataFrame([(x,) for x in _DEFAULTS], "value string").coalesce(1)
+    found = ucd_ranges(lines).withColumn("value", F.col("values")[0])
+    return ucd.with_defaults(found, ucd.ucd_missing(lines)).select(F.col("cp").cast("bigint").alias("cp"), "value")
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(64 AS BIGINT)), (91, 169), (171, 879), (884, 128511), (128592, 1114111)) t(first_cp, last_cp)")
+def ucd_unknown(spark, sf_dir):
+    """What no range of a file takes in."""
+    found = ucd_ranges(spark.createDataFrame([(x,) for x in _UCD], "value string"))
+    return ucd.uncovered(found).select(F.col("first").cast("bigint").alias("first_cp"), F.col("last").cast("bigint").alias("last_cp"))
+
+
+@query()
+def ucd_five_properties(spark, sf_dir):
+    """Five properties of every code point."""
+    return u.property_table(spark, "general_category", "combining_class", "bidi_class", "script", "block")
+
+
 @query()
 def ucd_script_ranges(spark, sf_dir):
     """Maximal ranges of one script over all code points."""

@@ -256,3 +256,28 @@ def test_first_cluster_of_any_length(spark):
     long = "e" + "́" * 100
     assert one(spark, long + "x", u.first_cluster(spark, F.col("x"))) == long
     assert [one(spark, t, u.cluster_count(spark, F.col("x"))) for t in ("a\r\nb", "ab\r", "", "é🙂x", "é")] == [3, 3, 0, 3, 1]
+
+
+def test_unicode_data_against_python(spark):
+    """Lines written from Python's own tables come back as they were; what breaks the rules is told."""
+    lines = []
+    for c in [*range(0x20, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00)]:
+        ch = chr(c)
+        if not unicodedata.name(ch, ""):
+            continue
+        lines.append((f"{c:04X};{unicodedata.name(ch)};{unicodedata.category(ch)};{unicodedata.combining(ch)};{unicodedata.bidirectional(ch)};{unicodedata.decomposition(ch)};;;;{'Y' if unicodedata.mirrored(ch) else 'N'};;;;;",))
+    rows = {r["first"]: r for r in tables.unicode_data(spark.createDataFrame(lines, "value string")).collect()}
+    assert len(rows) == len(lines)
+    for c, r in rows.items():
+        parts = unicodedata.decomposition(chr(c)).split()
+        kind = parts.pop(0).strip("<>") if parts and parts[0].startswith("<") else None
+        assert (r.name, r.category, r.combining_class, r.bidi_class) == (unicodedata.name(chr(c)), unicodedata.category(chr(c)), unicodedata.combining(chr(c)), unicodedata.bidirectional(chr(c)))
+        assert (r.decomposition_kind, r.mapping) == (kind, [int(x, 16) for x in parts] or None)
+    bad = spark.createDataFrame([("0041;A;lu;0;L;;;;;N;;;;;",), ("0042;B;Lu;999;L;;;;;N;;;;;",), ("0043;C;Lu;0;L;0041 0042 0043;;;;N;;;;;",), ("0044;D;Lu;0;L;;;;;N;;;;;",)], "value string")
+    assert sorted(map(tuple, tables.unicode_data_faults(tables.unicode_data(bad)).collect())) == [(0x41, "category"), (0x42, "combining class"), (0x43, "canonical decomposition longer than two")]
+
+
+def test_values_by_any_of_their_names(spark):
+    aliases = tables.value_aliases(spark.createDataFrame([("sc ; Zinh ; Inherited ; Qaai",), ("sc ; Latn ; Latin",)], "value string"))
+    found = tables.ucd_ranges(spark.createDataFrame([("0041..005A ; Latn",), ("0300 ; Qaai",), ("0301 ; Odd",)], "value string"))
+    assert {r["first"]: r.value for r in tables.decoded(found, aliases, "sc").collect()} == {0x41: "Latin", 0x300: "Inherited", 0x301: None}
