@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from runeflow.plans import font_queries, set_queries, text_queries  # noqa: F401
+from runeflow.plans import font_queries, golden_queries, set_queries, text_queries  # noqa: F401
 from runeflow.plans.registry import ORACLE, QUERIES  # noqa: F401
