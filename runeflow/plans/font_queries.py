@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 from runeflow.functions import paths
 from runeflow.functions import unicode as u
 from runeflow.operators import reports, sets, shaping, text
+from runeflow.plans import font_twins as twins
 from runeflow.plans.registry import query
 from runeflow.sources import fonts
 from runeflow.sources.tables import table
 
+#: Without the fonts there is nothing that the twins could read.
+_HERE = os.path.isdir(fonts.DEJAVU)
 _SANS = f"file:{fonts.DEJAVU}/DejaVuSans.ttf"
 
 
+def _wide(df):
+    """Whole numbers as 64-bit ones and lists as text, as the twins have them."""
+    out = {"int": lambda c: F.col(c).cast("bigint"), "array<int>": lambda c: F.array_join(F.col(c).cast("array<string>"), ",")}
+    return df.select(*[out[t](c).alias(c) if t in out else F.col(c) for c, t in df.dtypes])
+
+
 def _files(spark):
     if not os.path.isdir(fonts.DEJAVU):
         return spark.createDataFrame([], "path string, content binary")
@@ -27,47 +36,47 @@ def font_faces(spark, sf_dir):
     return fonts.faces(_files(spark))
 
 
-@query()
+@query(twins.FONT_TABLES if _HERE else None)
 def font_tables(spark, sf_dir):
-    return fonts.font_tables(_files(spark))
+    return _wide(fonts.font_tables(_files(spark)))
 
 
-@query()
+@query(twins.FONT_NAMES if _HERE else None)
 def font_names(spark, sf_dir):
-    return fonts.names(_files(spark))
+    return _wide(fonts.names(_files(spark)))
 
 
-@query()
+@query(twins.FONT_CMAP if _HERE else None)
 def font_cmap(spark, sf_dir):
-    return fonts.cmap(_files(spark))
+    return _wide(fonts.cmap(_files(spark)))
 
 
-@query()
+@query(twins.FONT_CMAP_SUBTABLES if _HERE else None)
 def font_cmap_subtables(spark, sf_dir):
-    return fonts.cmap_subtables(_files(spark))
+    return _wide(fonts.cmap_subtables(_files(spark)))
 
 
-@query()
+@query(twins.FONT_METRICS if _HERE else None)
 def font_metrics(spark, sf_dir):
-    return fonts.hmtx(_files(spark))
+    return _wide(fonts.hmtx(_files(spark)))
 
 
-@query()
+@query(twins.FONT_GLYPH_CLASSES if _HERE else None)
 def font_glyph_classes(spark, sf_dir):
-    return fonts.gdef(_files(spark))
+    return _wide(fonts.gdef(_files(spark)))
 
 
-@query()
+@query(twins.FONT_FEATURES if _HERE else None)
 def font_features(spark, sf_dir):
-    return fonts.features(_files(spark))
+    return _wide(fonts.features(_files(spark)))
 
 
-@query()
+@query(twins.FONT_LOOKUP_CENSUS if _HERE else None)
 def font_lookup_census(spark, sf_dir):
     """Lookups and sub-tables by table and type, in all faces, and the face with most."""
     k = fonts.lookups(_files(spark))
     per = k.groupBy("path", "table_tag", "type").agg(F.count("*").alias("lookups"), F.sum("subtables").alias("subtables"))
-    return per.groupBy("table_tag", "type").agg(F.sum("lookups").alias("lookups"), F.sum("subtables").alias("subtables"), F.max("subtables").alias("most"), F.min_by("path", F.struct(-F.col("subtables"), "path")).alias("face"))
+    return _wide(per.groupBy("table_tag", "type").agg(F.sum("lookups").alias("lookups"), F.sum("subtables").alias("subtables"), F.max("subtables").alias("most"), F.min_by("path", F.struct(-F.col("subtables"), "path")).alias("face")))
 
 
 @query()
@@ -98,11 +107,11 @@ def font_script_top3(spark, sf_dir):
     return sets.top_per_key(c, "script", "family", [F.desc(F.col("covered") / F.col("total")), F.desc("covered"), F.desc("glyph_count"), F.col("path")])
 
 
-@query()
+@query(twins.FONT_CMAP_HISTOGRAM if _HERE else None)
 def font_cmap_histogram(spark, sf_dir):
     """Faces by the number of characters they map."""
     n = fonts.cmap(_files(spark)).groupBy("path").agg(F.count("*").alias("n"))
-    return reports.histogram(n, F.col("n"), [100, 500, 1000, 2000, 3000, 4000, 5000, 6000])
+    return _wide(reports.histogram(n, F.col("n"), [100, 500, 1000, 2000, 3000, 4000, 5000, 6000]))
 
 
 @query()
@@ -273,12 +282,12 @@ def font_metric_histograms(spark, sf_dir):
     return reports.histogram(_measures(_files(spark)), F.col("value"), [0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096], "metric")
 
 
-@query()
+@query(twins.FONT_FILTER_SUMMARY if _HERE else None)
 def font_filter_summary(spark, sf_dir):
     """Lookups by what their flags skip."""
     k, bit = fonts.lookups(_files(spark)), lambda b: F.col("flag").bitwiseAND(b) != 0
     named = k.select("path", "table_tag", "type", bit(1).alias("right_to_left"), bit(2).alias("bases"), bit(4).alias("ligatures"), bit(8).alias("marks"), bit(16).alias("mark_set"), (F.col("flag") >= 256).alias("mark_class"))
-    return named.groupBy("table_tag", "type", "right_to_left", "bases", "ligatures", "marks", "mark_set", "mark_class").agg(F.count("*").alias("lookups"), F.countDistinct("path").alias("faces"))
+    return _wide(named).groupBy("table_tag", "type", "right_to_left", "bases", "ligatures", "marks", "mark_set", "mark_class").agg(F.count("*").alias("lookups"), F.countDistinct("path").alias("faces"))
 
 
 @query()
@@ -346,8 +355,8 @@ def kerning_fonts(spark, sf_dir):
     return rules.join(a, ["path", "face_ix", "first"]).join(b, ["path", "face_ix", "second"]).select("path", "lookup", "subtable", F.concat("a", "b").alias("pair"), "advance")
 
 
-@query()
+@query(twins.CMAP_LOOKUPS if _HERE else None)
 def cmap_lookups(spark, sf_dir):
     """For each face, code points of planes 0 and 1 that it maps and that it lacks: what a look-up benchmark draws from."""
     have = fonts.cmap(_files(spark)).groupBy("path", F.floor(F.col("cp") / 65536).alias("plane")).agg(F.count("*").alias("hits"), F.countDistinct("gid").alias("glyphs"), F.max("cp").alias("highest"))
-    return have.withColumn("misses", F.lit(65536) - F.col("hits"))
+    return _wide(have.withColumn("misses", F.lit(65536) - F.col("hits")))
