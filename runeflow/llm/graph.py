@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -19,6 +19,12 @@ def measured(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def weighed(df: DataFrame, size: Column) -> DataFrame:
+    """As ``measured``, by the bytes that ``size`` gives for each row."""
+    total = df.agg(F.sum(size + 64)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each batch's edges: each node with its least node of the batch."""
     for batch in batches:

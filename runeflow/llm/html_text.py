@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, written
-from .graph import measured
+from .graph import measured, weighed
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -49,7 +49,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SLOT = "#"
 #: Longest run of tokens that is looked at as a repeated group.
 LONGEST_GROUP = 24
-PARTS = 16
+#: Shapes of a host that a task aligns.
+TOGETHER = 32
 
 
 @dataclass
@@ -238,24 +239,14 @@ def align(a: list, b: list) -> list:
     if a == b:
         return a
     left, right = [_bare(x) for x in a], [_bare(x) for x in b]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if left[i] == right[j] else max(below[j], row[j + 1])
     out: list = []
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and left[i] == right[j]:
-            out.append(("?", *left[i]) if isinstance(a[i], tuple) and a[i][0] == "?" or isinstance(b[j], tuple) and b[j][0] == "?" else a[i])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(("?", *left[i]))
-            i += 1
-        else:
-            out.append(("?", *right[j]))
-            j += 1
+    for x, y in [*sorted(_common(left, right)), (len(a), len(b))]:
+        out += [("?", *t) for t in (*left[i:x], *right[j:y])]
+        if x < len(a):
+            optional = any(isinstance(t, tuple) and t[0] == "?" for t in (a[x], b[y]))
+            out.append(("?", *left[x]) if optional else a[x])
+        i, j = x + 1, y + 1
     return out
 
 
@@ -443,11 +434,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
             wrapper = fold(align(wrapper, _load(shape)))
         return pa.table({"host": group.column("host").slice(0, 1), "shape": pa.array([_dump(wrapper)]), "n": pa.array([sum(n for n, _ in order)], pa.int64())})
 
-    kind = "host string, shape string, n long"
-    shapes = seen.select("host", "shape", "n", F.pmod(F.xxhash64("shape"), F.lit(PARTS)).alias("part"))
-    parts = shapes.groupBy("host", "part").applyInArrow(lambda t: align_all(t), kind)
-    whole = parts.groupBy("host").applyInArrow(lambda t: align_all(t), kind)
-    return written(whole.select("host", F.col("shape").alias("wrapper")), "wrappers")
+    rows = written(seen, "shapes")
+    while True:
+        # a task aligns a few of a host's shapes, and what it makes of them is aligned with others' in the next round
+        counts = rows.groupBy("host").agg(F.count("*").alias("k"))
+        if not counts.where("k > 1").limit(1).count():
+            return written(rows.select("host", F.col("shape").alias("wrapper")), "wrappers")
+        part = F.pmod(F.xxhash64("shape"), F.ceil(F.col("k") / TOGETHER))
+        parts = rows.join(measured(written(counts, "counts")), "host").select("host", "shape", "n", part.alias("part"))
+        made = parts.groupBy("host", "part").applyInArrow(lambda t: align_all(t), "host string, shape string, n long")
+        rows = written(made.groupBy("host", "shape").agg(F.sum("n").alias("n")), "shapes")
 
 
 def left_out(pages: DataFrame) -> DataFrame:
@@ -496,15 +492,17 @@ def extract(blocks: list[tuple[str, str, Block]], leave: frozenset[str]) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    A null or empty page has the empty text. A null or odd url counts as the host without name. Repeated rows stay; an
-    empty table gives an empty one; other columns, whatever their names, are left out.
+    A null or empty page has the empty text; a very long one is read whole. A null or odd url counts as the host without
+    name. Of equally frequent texts of a slot none is fixed. Repeated rows stay; an empty table gives an empty one; other
+    columns, whatever their names, are left out.
     """
     find = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
     source = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), find, 1)).alias("host"), F.col(f"`{html_col}`").alias("html"))
     known = wrappers(source)
-    leave = left_out(source.join(measured(known, 4096), "host", "left"))
-    known = known.join(leave, "host", "left")
-    joined = source.join(measured(known, 4096), "host", "left").select("page_id", "url", "html", "wrapper", "leave")
+    leave = left_out(source.join(weighed(known, F.octet_length("wrapper")), "host", "left"))
+    known = written(known.join(leave, "host", "left"), "known")
+    size = F.octet_length("wrapper") + F.coalesce(F.octet_length(F.concat_ws("", "leave")), F.lit(0))
+    joined = source.join(weighed(known, size), "host", "left").select("page_id", "url", "html", "wrapper", "leave")
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

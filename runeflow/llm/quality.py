@@ -127,12 +127,12 @@ def fold(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> FactorisationMachine:
     """A model from at most ``most_rows`` labelled documents outside the held-out fold.
 
-    Several labels of a document count as their rounded mean; null labels and ids are left out. A document that stands in
-    the table more than once counts as often.
+    Several labels of a document count as their rounded mean; null labels and ids are left out. Of a document that stands in
+    the table more than once one row counts, that of least text, so the rows are bounded whatever the table holds.
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2)).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # of a fixed size, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def make():
         def run(texts):
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Fac
 def score_quality(df: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``df`` with ``score`` (0 to 1, higher: better) and ``predicted`` (1 from ``threshold`` on).
 
-    A null or empty text is scored as the empty text. Repeated rows stay; an empty table gives an empty one; input columns
+    A null or empty text is scored as the empty text, a very long one whole; a score equal to the threshold is accepted.
+    Repeated rows stay; an empty table gives an empty one; input columns
     of these names are replaced. The model has a fixed number of weights and goes with the tasks.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)

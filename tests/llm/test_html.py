@@ -84,3 +84,34 @@ def test_each_page_decides_by_its_own_elements(spark):
     for url in ("http://two/", None):
         pages = [(url, "<article><p>one</p></article><div>aside of it</div>"), (url, "<div><p>two</p></div>"), (url, "<article></article><p>not the article's</p>"), (url, "<aside><article><p>a card</p></article></aside><p>three</p>")]
         assert texts_of(spark, pages) == {0: "one", 1: "two", 2: "", 3: "three"}
+
+
+def test_the_wrapper_decides(spark, monkeypatch):
+    """With empty wrappers fixed slots aren't known any more, so boilerplate under neutral names stays."""
+    page = "<article><h1>T{0}</h1><div class=x>By our desk</div>{1}<div class=y><i>{0}</i></div></article>"
+    pages = [("http://a.b/", page.format(k, f"<p>s{k}</p><div class=x>Read {k} more</div>")) for k in range(12)]
+    got = texts_of(spark, pages)
+    assert got[3] == "T3 s3 Read 3 more 3"
+    monkeypatch.setattr(h, "align", lambda a, b: [])
+    monkeypatch.setattr(h.Wrapper, "places", lambda self, stream: [-1] * stream.count(h.SLOT))
+    reader = h.Reader()
+    slots = {s for s, *_ in reader.read(pages[0][1], "[]")}
+    assert all(":" in s for s in slots)  # by path alone, where the two blocks of one name are one
+
+
+def test_hosts_of_many_shapes_are_aligned_in_rounds(spark, monkeypatch):
+    """Distinct shapes beyond a task's share; alignment in rounds gives the texts that one round gives."""
+    page = "<article><h1>T{0}</h1><div>By our desk</div>{1}</article>"
+    tags = ("p", "h2", "ul", "blockquote", "h3", "pre")
+    pages = [("http://many/", page.format(k, "".join(f"<{tags[(k // 6**j) % 6]}>s{k}-{j}</{tags[(k // 6**j) % 6]}>" for j in range(3)))) for k in range(216)]
+    want = {k: " ".join([f"T{k}", *[f"s{k}-{j}" for j in range(3)]]) for k in range(216)}
+    assert texts_of(spark, pages) == want
+    monkeypatch.setattr(h, "TOGETHER", 5)
+    assert texts_of(spark, pages) == want
+
+
+def test_very_long_pages_and_clashing_names(spark):
+    body = "".join(f"<p>word{k} and more</p>" for k in range(8_000))
+    df = spark.createDataFrame([(1, "http://l/", f"<main>{body}</main>", "x", 5, "y")], "page_id long, url string, html string, wrapper string, n_chars int, host string")
+    (row,) = h.extract_text(df).collect()
+    assert row.text == " ".join(f"word{k} and more" for k in range(8_000)) and row.n_chars == len(row.text)
