@@ -41,7 +41,7 @@ UP, DOWN = 4, 5
 #: Members beyond the bare prefix that step 2 looks at.
 EXTRA_SHARE, EXTRA = 0.25, 8
 #: Members that a range of hashes should hold, that a task packs at a time, and characters that it hashes at a time.
-BUCKET, CHUNK, SLICE = 1_000_000, 1_000_000, 2_000_000
+BUCKET, CHUNK, SLICE = 250_000, 1_000_000, 2_000_000
 #: Rows of a chunk, so that 16 bits tell them apart; the last number stands for none.
 CHUNK_ROWS = 60_000
 _NOBODY = np.uint16(65_535)
@@ -216,7 +216,7 @@ class Ranges:
     with a chance of ``BUCKET`` in 2**32; that may bring sets together, it never keeps them apart."""
 
     def __init__(self, members: int):
-        self.bits = min(16, max(2, math.ceil(math.log2(max(1, members) / BUCKET + 1))))
+        self.bits = min(18, max(2, math.ceil(math.log2(max(1, members) / BUCKET + 1))))
         self.count = 1 << self.bits
         self.edges = np.arange(1, self.count, dtype=np.uint64) << np.uint64(48 - self.bits)
 
