@@ -24,6 +24,8 @@ from .chunks import Memo, cut_texts, spaced
 from .common import append_columns
 
 _NONE = np.int32(2**31 - 1)
+#: Pieces that a task remembers, and characters that it encodes at a time.
+MEMO, SLICE = 250_000, 1_000_000
 #: Rows of a matrix hold at most so many bytes together.
 _CELLS = 4_000_000
 #: Pre-tokens above this many bytes are matrices of one row, which merge equal pairs together.
@@ -259,7 +261,7 @@ def load(path: str, pattern: str) -> ByteBpe:
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBpe(path, pattern)
     coder = copy.copy(_LOADED[path, pattern])
-    coder.memo = Memo(coder._encode_pieces, 400_000)
+    coder.memo = Memo(coder._encode_pieces, MEMO)
     return coder
 
 
@@ -274,7 +276,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", c
         coder = load(path, pattern)
         return lambda texts: [coder.encode_arrays(texts)]
 
-    return append_columns(df, text_col, [("token_ids", T.ArrayType(T.IntegerType()))], make, carry)
+    return append_columns(df, text_col, [("token_ids", T.ArrayType(T.IntegerType()))], make, carry, SLICE)
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", carry: list[str] | None = None) -> DataFrame:
@@ -315,7 +317,7 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text
 
         return run
 
-    return append_columns(df, text_col, [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())], make, carry)
+    return append_columns(df, text_col, [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())], make, carry, SLICE)
 
 
 def bpe_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -340,4 +342,4 @@ def bpe_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text",
         return run
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return append_columns(df, text_col, fields, make, carry)
+    return append_columns(df, text_col, fields, make, carry, SLICE)

@@ -95,12 +95,12 @@ def let_go() -> None:
         pass
 
 
-def append_columns(df: DataFrame, text_col: str, fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable[[list], Sequence]], carry: Sequence[str] | None = None) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable[[list], Sequence]], carry: Sequence[str] | None = None, most: int = SLICE_CHARS) -> DataFrame:
     """``df`` with one output column a field, computed from the whole texts by ``make()(texts)``.
 
     ``make`` runs once in each Python worker and returns a function from a list of texts (nulls already empty) to one
     list or Arrow array a field. ``carry`` names the columns to keep (all by default); a kept column whose name clashes
-    with an output is replaced by the output. Memory is bounded by the slices, whatever the batch.
+    with an output is replaced by the output. Memory is bounded by the slices of ``most`` characters, whatever the batch.
     """
     made = {name.lower() for name, _ in fields}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in made]
@@ -118,7 +118,7 @@ def append_columns(df: DataFrame, text_col: str, fields: Sequence[tuple[str, T.D
                 if fn is None:
                     fn = make()
                 texts = [t or "" for t in batch.column(text_at).to_pylist()]
-                for a, b in slices(texts):
+                for a, b in slices(texts, most):
                     out = fn(texts[a:b])
                     cols = [batch.column(k).slice(a, b - a) for k in range(text_at)]
                     cols += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=t) for x, t in zip(out, types, strict=True)]
