@@ -52,6 +52,7 @@ BLOCK, LEADER_ROUNDS, LEADERS = 128, 4, 8
 #: Postings that are counted at a time.
 POSTINGS = 200_000
 
+_SPREAD, _LOW = np.uint64(0x9E3779B97F4B), np.uint64(2**48 - 1)
 _MIX = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) | 1 for k in range(1, 65)], np.uint64)
 
 
@@ -260,7 +261,8 @@ def _ask(rows: DataFrame, ranges: Ranges, read, asks, hot: int) -> DataFrame:
         spare = ranges.count + (TaskContext.get().partitionId() if TaskContext.get() else 0) % ranges.count
         try:
             for cls, sizes, held in _chunks(batches, read):
-                tokens = np.concatenate(held)
+                # the first members by hash fill the low ranges only; an odd factor spreads them over all
+                tokens = (np.concatenate(held) * _SPREAD) & _LOW
                 if not len(tokens):
                     continue
                 lengths = np.array([len(h) for h in held])
