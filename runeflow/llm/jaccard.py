@@ -521,6 +521,23 @@ def block_links(sets: DataFrame, blocks: DataFrame, most: int = BLOCK) -> DataFr
     return links.union(_large_links(more, max(2, most * 3 // 4)))
 
 
+def _against(shared):
+    """Each set of a batch against the leaders of its block: (set, leader) of those that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads = {k: [(c, np.frombuffer(x, np.uint64)) for c, x in v] for k, v in shared.value.items()}
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for c, block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+                for other, y in leads.get(block, ()):
+                    if len(x) * DOWN >= len(y) * UP and len(y) * DOWN >= len(x) * UP and similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))):
+                        out.append((c, other))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        let_go()
+
+    return run
+
+
 def _large_links(blocks: DataFrame, most: int) -> DataFrame:
     """Links in blocks beyond a task: leaders first, each against its whole block, then pairs of parts of what is apart."""
     found: list[DataFrame] = []
@@ -533,16 +550,18 @@ def _large_links(blocks: DataFrame, most: int) -> DataFrame:
         held = leaders.agg(F.sum(F.octet_length("lead") + 64)).first()[0]
         if not held:
             break
-        leaders = F.broadcast(leaders) if held <= BROADCAST_BYTES else leaders
-        size, size2 = F.octet_length("tokens"), F.octet_length("lead")
-        pairs = blocks.join(leaders, "block").where((size * DOWN >= size2 * UP) & (size2 * DOWN >= size * UP))
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = [similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True)]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-        links = written(pairs.select("cls", "leader", "tokens", "lead").mapInArrow(check, "a long, b long"), "led")
+        # leaders go to the tasks in batches of a bounded size; a row of the block carries its own set only
+        batches = -(-2 * int(held) // BROADCAST_BYTES)
+        links = None
+        for b in range(batches):
+            part = leaders.where(F.pmod(F.xxhash64("leader"), F.lit(batches)) == b).collect()
+            by_block: dict[int, list[tuple[int, bytes]]] = {}
+            for r in part:
+                by_block.setdefault(r["block"], []).append((r["leader"], bytes(r["lead"])))
+            shared = blocks.sparkSession.sparkContext.broadcast(by_block)
+            met = blocks.select("cls", "block", "tokens").mapInArrow(_against(shared), "a long, b long")
+            links = met if links is None else links.union(met)
+        links = written(links, "led")
         found.append(links.where("a <> b"))
         hit = links.select(F.col("a").alias("cls"), F.lit(True).alias("hit")).distinct()
         state = cut(state.join(hit, "cls", "left").select("cls", "block", (F.col("led") | F.coalesce("hit", F.lit(False))).alias("led")))
